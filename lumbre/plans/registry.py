@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumbre.plans import statistics
+from lumbre.plans import programs, statistics
 
-MODULES = (statistics,)
+MODULES = (statistics, programs)
 
 
 def all_queries() -> dict:
