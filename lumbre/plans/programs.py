@@ -27,7 +27,7 @@ def monte_carlo_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point per line item, placed by its keys."""
 
     def spread(a: str, b: str, by_a: int, by_b: int) -> Column:
-        mixed = F.col(a) % 1073741824 * by_a + F.col(b) % 1073741824 * by_b
+        mixed = F.col(a).cast("long") % 1073741824 * by_a + F.col(b).cast("long") % 1073741824 * by_b
         return mixed % RANGE / RANGE * 2 - 1
 
     lines = table(spark, sf_dir, "lineitem")

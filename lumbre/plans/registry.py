@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumbre.plans import programs, statistics
+from lumbre.plans import programs, runlog, statistics
 
-MODULES = (statistics, programs)
+MODULES = (statistics, programs, runlog)
 
 
 def all_queries() -> dict:
