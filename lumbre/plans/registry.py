@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumbre.plans import programs, runlog, statistics
+from lumbre.plans import cadences, programs, runlog, statistics, streams
 
-MODULES = (statistics, programs, runlog)
+MODULES = (statistics, programs, runlog, cadences, streams)
 
 
 def all_queries() -> dict:
