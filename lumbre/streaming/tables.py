@@ -14,16 +14,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session of its own for a stream: state lives in RocksDB (on disk) unless the caller chose a store."""
     own = spark.newSession()
-    for key in (PROVIDER, "spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        chosen = spark.conf.get(key, None)
-        own.conf.set(key, ROCKSDB if key == PROVIDER and not _is_set(spark, key) else chosen)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set(PROVIDER, spark.conf.getAll.get(PROVIDER, ROCKSDB))
     return own
 
 
-def _is_set(spark: SparkSession, key: str) -> bool:
-    return spark.conf.get(key, "") != "" and "HDFSBacked" not in spark.conf.get(key, "")
-
-
 def stream_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files.
 
