@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.operators.ordered import shuffle_partitions
-from lumbre.storage import cut_lineage
+from lumbre.storage import bucketed, cut_lineage
 
 # A source with more links than this is split over several tasks …
 LINKS_PER_TASK = 1_000_000
 # … and the list of such sources, which is broadcast, is never longer than this.
 MAX_SPLIT_SOURCES = 2_000
+# A task holds the shares of about this many nodes in memory while it reads its links.
+NODES_PER_TASK = 1_000_000
 
 
 def page_rank(
@@ -27,30 +29,29 @@ def page_rank(
     ``rank = (1 - damping) + damping * received``.  Nodes that receive nothing drop out, nodes without links pass
     nothing on, and ranks are not normalised.
 
-    The links are written once, partitioned and sorted by the key they are joined on, so a round shuffles ranks and
-    partially summed shares but never the links.  A source with very many links is spread over several tasks: its
-    share is repeated once per part.
+    The links are written once in buckets of the key they are joined on, so a round shuffles partially summed shares
+    but never the links.  A source with very many links is spread over several tasks; its share is repeated once per
+    part.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
-    total = links.count()
-    # More than ``limit`` links each: there are fewer than MAX_SPLIT_SOURCES such sources.
-    limit = max(links_per_task, -(-total // MAX_SPLIT_SOURCES))
     parts = shuffle_partitions(links)
-    nodes = cut_lineage(
-        links.groupBy(F.col("src").alias("node"))
-        .agg(F.count(F.lit(1)).alias("links"))
-        .withColumn("splits", F.ceil(F.col("links") / limit).cast("int"))
-        .repartition(parts, "node")
-        .sortWithinPartitions("node")
-    )
-    split = nodes.filter("splits > 1").select(F.col("node").alias("src"), "splits")
-    skewed = not split.isEmpty()
+    degrees = bucketed(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("links")), parts, "node")
+    links_of = F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.max("links"), F.lit(0)).alias("most")
+    size = degrees.agg(F.count(F.lit(1)).alias("nodes"), *links_of).first()
+    if size.nodes > parts * NODES_PER_TASK:
+        parts = -(-size.nodes // NODES_PER_TASK)
+        degrees = bucketed(degrees, parts, "node")
+    # Sources with more than ``limit`` links each: there are fewer than MAX_SPLIT_SOURCES of them.
+    limit = max(links_per_task, -(-size.links // MAX_SPLIT_SOURCES))
+    nodes = degrees.withColumn("splits", F.ceil(F.col("links") / limit).cast("int"))
+    skewed = size.most > limit
     by = ["src", "part"] if skewed else ["src"]
     if skewed:
+        split = nodes.filter("splits > 1").select(F.col("node").alias("src"), "splits")
         links = links.join(F.broadcast(split), "src", "left").select(
             "src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), "splits"), F.lit(0)).cast("int").alias("part")
         )
-    links = cut_lineage(links.repartition(parts, *by).sortWithinPartitions(*by))
+    links = bucketed(links, parts, *by)
 
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
@@ -60,7 +61,7 @@ def page_rank(
         if skewed:
             shares = shares.select("src", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
         ranks = (
-            links.join(shares.drop("splits"), by)
+            links.join(shares.drop("splits").hint("shuffle_hash"), by)
             .groupBy(F.col("dst").alias("node"))
             .agg((F.lit(1 - damping) + damping * F.sum("share")).alias("rank"))
         )

@@ -44,10 +44,8 @@ def purchase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, dst``: who bought what, in both directions."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey")
-    pairs = (
-        lines.join(orders, "k")
-        .select(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
-        .distinct()
+    pairs = lines.join(orders, "k").select(
+        F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")
     )
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return pairs.select(F.inline(both))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbre.operators import words
+from lumbre.operators.ordered import shuffle_partitions
 from lumbre.plans import cadences, programs, runlog
 from lumbre.storage import new_folder
 from lumbre.streaming.outcomes import stream_outcomes
@@ -49,9 +50,9 @@ def run_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "outcomes")
     runlog.event_polls(spark, sf_dir).write.parquet(f"{path}/polls")
     polls = stream_table(stream_session(spark), f"{path}/polls")
+    buckets = 4 * shuffle_partitions(polls)
     append_available(
-        stream_outcomes(polls, LATE_BY, runlog.MAX_UNKNOWN, runlog.MAX_WAIT_SECONDS),
-        path,
+        stream_outcomes(polls, LATE_BY, runlog.MAX_UNKNOWN, runlog.MAX_WAIT_SECONDS, buckets), path
     )
     return read_appended(spark, path).select(
         "app_name", "run_no", "status", "state", runlog.time_text("start_time"), runlog.time_text("end_time")

@@ -35,3 +35,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """``df`` written to the shared folder in hash buckets of ``keys`` and read back.
+
+    Joins and groupings on ``keys`` with as many partitions then read it without a shuffle.  The table is in the
+    catalog only until it has been opened; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    name = f"lumbre_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", new_folder(spark, "bucketed")).saveAsTable(name)
+    written = spark.table(name)
+    written.schema  # resolves the table
+    spark.sql(f"DROP TABLE {name}")
+    return written

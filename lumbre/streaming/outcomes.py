@@ -1,4 +1,9 @@
-"""Run outcomes from a stream of status polls."""
+"""Run outcomes from a stream of status polls.
+
+The rules need the first few UNKNOWN polls of a run in order, which no built-in aggregate keeps, so the state is kept
+in pandas.  Runs are gathered in hash buckets and each bucket is handled as one frame: a call of the state function
+per run would cost more than the work in it.
+"""
 
 from __future__ import annotations
 
@@ -12,92 +17,119 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumbre.operators.runlog import COMPLETED, FAILED_STATES, MAX_UNKNOWN, MAX_WAIT_SECONDS, UNKNOWN
 
+# Open runs are spread over this many buckets; a stream keeps the number it was started with.
+BUCKETS = 256
+
 # Which state ends a run, in the order that counts at the same instant.
 ENDINGS = {COMPLETED: "success", **dict.fromkeys(FAILED_STATES, "failed")}
-KEY = ["app_name", "run_no", "started"]
-POLLS = "app_name string, run_no long, started long, at long, state string, ts timestamp"
-# Earliest poll per ending state, the first UNKNOWN polls, and whether the outcome has been given out.
-STATE = ", ".join(f"{name} long" for name in ENDINGS) + ", unknown array<long>, done boolean"
+RANK = {**{name: i for i, name in enumerate(ENDINGS)}, UNKNOWN: 8}
+TIMEOUT_RANK = 9
+# Stands for the polls of a run whose outcome has been given out.
+GIVEN_OUT = "given out"
+
+RUN = ["app_name", "run_no", "started"]
+KEPT = [*RUN, "at", "state"]
+POLLS = "bucket int, app_name string, run_no long, started long, at long, state string, ts timestamp"
+STATE = "app_name array<string>, run_no array<long>, started array<long>, at array<long>, state array<string>"
 OUTCOME = "app_name string, run_no long, status string, state string, started long, ended long"
 
 
-def decisive_polls(batches: Iterator[pd.DataFrame], max_unknown: int) -> Iterator[pd.DataFrame]:
-    """Of each batch of rows, the polls that can matter.
+def first_polls(polls: pd.DataFrame, max_unknown: int) -> pd.DataFrame:
+    """The polls that can matter, in order of time.
+
+    Per run: its first poll, the first one in each ending state, and as many UNKNOWN ones as it takes to fail.
+    """
+    polls = polls.sort_values("at", kind="stable")
+    turn = polls.groupby([*RUN, "state"], sort=False).cumcount()
+    deciding = polls["state"].isin([*RANK, GIVEN_OUT])
+    wanted = deciding & (turn <= (polls["state"] == UNKNOWN) * max_unknown)
+    return polls[wanted | ~polls.duplicated(RUN)]
+
+
+def reduce_batches(batches: Iterator[pd.DataFrame], max_unknown: int) -> Iterator[pd.DataFrame]:
+    """Before the shuffle: a run with very many polls shrinks to a few per batch of rows.
 
-    Per run these are its start, the first poll in each ending state and the first UNKNOWN ones; the latest poll of
-    the batch stays too, as it moves the watermark.  So a run with very many polls is small before the shuffle.
+    The latest poll of a batch stays too, as it moves the watermark.
     """
     for batch in batches:
-        batch = batch.sort_values("at", kind="stable")
-        deciding = batch[batch["state"].isin([*ENDINGS, UNKNOWN])]
-        turn = deciding.groupby([*KEY, "state"], sort=False).cumcount()
-        wanted = deciding[turn <= (deciding["state"] == UNKNOWN) * max_unknown].index
-        keep = batch.index.isin(wanted) | (batch["at"] == batch["started"]) | (batch.index == batch.index[-1])
-        yield batch[keep]
+        kept = first_polls(batch, max_unknown)
+        latest = batch.loc[[batch["at"].idxmax()]]
+        yield kept if latest.index[0] in kept.index else pd.concat([kept, latest])
 
 
-def _outcome(first: dict[str, int | None], unknown: list[int], deadline: int, max_unknown: int):
-    """``(at, rank, status, state)`` of what ends the watch; at the latest the deadline does."""
-    found = [(deadline, 9, "timeout", None)]
-    found += [(at, i, ENDINGS[name], name) for i, (name, at) in enumerate(first.items()) if at is not None and at < deadline]
-    if len(unknown) > max_unknown and unknown[max_unknown] < deadline:
-        found.append((unknown[max_unknown], 8, "failed", UNKNOWN))
-    return min(found, key=lambda candidate: candidate[:2])
+def _outcomes(held: pd.DataFrame, max_unknown: int, wait: int) -> pd.DataFrame:
+    """``RUN, ended, rank, state, deadline``: what ends each run's watch; at the latest its deadline does."""
+    deadline = held["started"] + wait
+    turn = held.groupby([*RUN, "state"], sort=False).cumcount()
+    ends = held["state"].isin(list(ENDINGS)) | ((held["state"] == UNKNOWN) & (turn == max_unknown))
+    found = held[ends & (held["at"] < deadline)]
+    found = found.assign(rank=found["state"].map(RANK).astype("int64"))
+    runs = held.drop_duplicates(RUN)
+    late = runs.assign(at=runs["started"] + wait, state=None, rank=TIMEOUT_RANK)
+    first = pd.concat([found, late]) if len(found) else late
+    first = first.sort_values(["at", "rank"]).drop_duplicates(RUN)
+    return first.rename(columns={"at": "ended"}).assign(deadline=first["started"] + wait)
 
 
-def watch_run(
+def _millis(micros: pd.Series) -> pd.Series:
+    """Rounded up, so that the watermark is past the instant itself."""
+    return -(-micros // 1000)
+
+
+def watch_bucket(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, max_unknown: int, max_wait: int
 ) -> Iterator[pd.DataFrame]:
-    """Keep the earliest polls of a run and give its outcome once no earlier poll can still arrive.
+    """Keep the first polls of a bucket's runs and give each outcome once no earlier poll can still arrive.
 
-    That is when the watermark has passed the instant of the outcome.  The run is remembered as done until its
-    deadline, so that its later polls are not taken for a new run.
+    That is when the watermark has passed the instant of the outcome.  A run stays known until its deadline has
+    passed as well, so that its later polls are not taken for a new run.
     """
-    app_name, run_no, started = key[0], int(key[1]), int(key[2])
-    deadline = started + max_wait * 1_000_000
+    wait = max_wait * 1_000_000
     watermark = state.getCurrentWatermarkMs()
-    if state.exists:
-        *firsts, unknown, done = state.get
-        first, unknown = dict(zip(ENDINGS, firsts, strict=True)), list(unknown)
-    elif deadline <= watermark * 1000:
-        return  # polls of a run that was given out and forgotten
-    else:
-        first, unknown, done = dict.fromkeys(ENDINGS), [], False
-
-    if not state.hasTimedOut and not done:
+    held = pd.DataFrame(dict(zip(KEPT, state.get, strict=True)) if state.exists else {c: [] for c in KEPT})
+    if not state.hasTimedOut:
+        known = pd.MultiIndex.from_frame(held[RUN])
         for batch in batches:
-            at = batch["at"]
-            for name in ENDINGS:
-                seen = at[batch["state"] == name]
-                if len(seen):
-                    first[name] = min(int(seen.min()), first[name] if first[name] is not None else deadline)
-            later = at[batch["state"] == UNKNOWN].nsmallest(max_unknown + 1)
-            unknown = sorted([*unknown, *(int(v) for v in later)])[: max_unknown + 1]
-
-    ended, _, status, last_state = _outcome(first, unknown, deadline, max_unknown)
-    due = -(-ended // 1000)
-    if not done and due < watermark:
-        done = True
-        yield pd.DataFrame(
-            {
-                "app_name": [app_name],
-                "run_no": [run_no],
-                "status": [status],
-                "state": [last_state],
-                "started": [started],
-                "ended": [ended],
-            }
-        )
-    forget = -(-deadline // 1000)
-    if done and forget <= watermark:
+            # a run that is past its deadline and not known has been given out and forgotten
+            gone = (_millis(batch["started"] + wait) <= watermark) & ~pd.MultiIndex.from_frame(batch[RUN]).isin(known)
+            fresh = batch.loc[~gone, KEPT]
+            if len(fresh):
+                held = first_polls(pd.concat([held, fresh]) if len(held) else fresh, max_unknown)
+    if not len(held):
+        if state.exists:
+            state.remove()
+        return
+
+    watched = _outcomes(held, max_unknown, wait)
+    given = pd.MultiIndex.from_frame(held.loc[held["state"] == GIVEN_OUT, RUN])
+    before = pd.MultiIndex.from_frame(watched[RUN]).isin(given)
+    now = (_millis(watched["ended"]) < watermark) & ~before
+    if now.any():
+        out = watched[now]
+        status = out["state"].map({**ENDINGS, UNKNOWN: "failed"}).fillna("timeout")
+        yield out.assign(status=status)[["app_name", "run_no", "status", "state", "started", "ended"]]
+
+    done = before | now
+    over = done & (_millis(watched["deadline"]) <= watermark)
+    waiting = watched[~done]
+    marked = watched[done & ~over].assign(state=GIVEN_OUT)
+    marked = marked.assign(at=marked["started"])[KEPT]
+    still_open = pd.MultiIndex.from_frame(held[RUN]).isin(pd.MultiIndex.from_frame(waiting[RUN]))
+    kept = pd.concat([held[still_open], marked])
+    if not len(kept):
         state.remove()
         return
-    state.update((*first.values(), unknown, done))
-    state.setTimeoutTimestamp(max(forget if done else due, watermark + 1))
+    state.update(tuple(kept[c].tolist() for c in KEPT))
+    due = [*_millis(waiting["ended"]), *_millis(marked["started"] + wait)]
+    state.setTimeoutTimestamp(max(int(min(due)), watermark + 1))
 
 
 def stream_outcomes(
-    polls: DataFrame, delay: str = "1 hour", max_unknown: int = MAX_UNKNOWN, max_wait: int = MAX_WAIT_SECONDS
+    polls: DataFrame,
+    delay: str = "1 hour",
+    max_unknown: int = MAX_UNKNOWN,
+    max_wait: int = MAX_WAIT_SECONDS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``app_name, run_no, status, state, start_time, end_time`` of finished runs.
 
@@ -105,19 +137,20 @@ def stream_outcomes(
     Polls may be late by ``delay``; an outcome is given out once, when event time has passed it by that much.
     """
     prepared = polls.select(
+        F.pmod(F.xxhash64("app_name", "run_no"), F.lit(buckets)).cast("int").alias("bucket"),
         "app_name",
         "run_no",
         F.unix_micros(F.col("started_at").cast("timestamp")).alias("started"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-        "state",
+        F.coalesce("state", F.lit("")).alias("state"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
     decided = (
-        prepared.mapInPandas(partial(decisive_polls, max_unknown=max_unknown), POLLS)
+        prepared.mapInPandas(partial(reduce_batches, max_unknown=max_unknown), POLLS)
         .withWatermark("ts", delay)
-        .groupBy(*KEY)
+        .groupBy("bucket")
         .applyInPandasWithState(
-            partial(watch_run, max_unknown=max_unknown, max_wait=max_wait),
+            partial(watch_bucket, max_unknown=max_unknown, max_wait=max_wait),
             OUTCOME,
             STATE,
             "append",

@@ -65,5 +65,12 @@ def test_tails_are_cut_before_the_shuffle(spark, sf_dir):
 
 def test_rounds_do_not_shuffle_the_links(spark, sf_dir):
     """Five rounds with one shuffle of partial sums each; the links are read where they lie."""
-    plan = plan_of(QUERIES["pagerank"](spark, sf_dir))
-    assert plan.count("Exchange hashpartitioning") == 5
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = plan_of(QUERIES["pagerank"](spark, sf_dir))
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange") == 5
+    assert plan.count("ShuffledHashJoin") == 5

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbre.operators import runlog, words
-from lumbre.streaming.outcomes import decisive_polls, stream_outcomes
+from lumbre.streaming.outcomes import reduce_batches, stream_outcomes
 from lumbre.streaming.tables import (
     PROVIDER,
     append_available,
@@ -69,7 +69,7 @@ def test_outcomes_like_batch(spark, tmp_path, batches):
     for i in range(0, len(data), size):
         add_file(spark, source, data[i : i + size], POLL)
         polls = stream_table(stream_session(spark), source)
-        append_available(stream_outcomes(polls, "60 seconds", max_unknown=1, max_wait=300), out)
+        append_available(stream_outcomes(polls, "60 seconds", max_unknown=1, max_wait=300, buckets=5), out)
     found = {(r.app_name, r.run_no): r for r in read_appended(spark, out).collect()}
     assert len(found) == read_appended(spark, out).count()
     now = F.lit(START + dt.timedelta(hours=3) - dt.timedelta(seconds=60))
@@ -97,7 +97,7 @@ def test_polls_after_the_outcome_start_no_new_run(spark, tmp_path):
         [at(1100, "FAILED"), at(2000, "SUBMITTED", "d", 2000)],
     ):
         add_file(spark, source, data, POLL)
-        append_available(stream_outcomes(stream_table(stream_session(spark), source), "1 second", max_wait=300), out)
+        append_available(stream_outcomes(stream_table(stream_session(spark), source), "1 second", max_wait=300, buckets=2), out)
     found = sorted((r.app_name, r.status) for r in read_appended(spark, out).collect())
     assert found == [("a", "success"), ("b", "timeout"), ("c", "timeout")]
 
@@ -113,7 +113,7 @@ def test_a_run_with_very_many_polls_is_small_before_the_shuffle():
             "state": ["SUBMITTED"] + ["UNKNOWN"] * (n // 2) + ["RUNNING"] * (n - 2 - n // 2) + ["FAILED"],
         }
     )
-    kept = pd.concat(decisive_polls(iter([batch.sample(frac=1, random_state=1)]), 10))
+    kept = pd.concat(reduce_batches(iter([batch.sample(frac=1, random_state=1)]), 10))
     assert sorted(kept["at"]) == [*range(12), n - 1]
 
 
