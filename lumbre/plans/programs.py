@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbre.operators import curves, logistic, montecarlo, ranking, samples, words
-from lumbre.storage import new_folder
+from lumbre.storage import cut_lineage, new_folder
 
 ITERATIONS = 5
 # Multipliers that spread keys over the 32-bit range, for points that are the same everywhere.
@@ -116,7 +116,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = labelled_documents(spark, sf_dir)
+    labelled = cut_lineage(labelled_documents(spark, sf_dir))  # every iteration reads it
     scored = logistic.score(logistic.fit(labelled), labelled)
     return scored.select("doc_id", "label", F.round("score", 6).alias("score"), "prediction")
 

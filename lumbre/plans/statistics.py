@@ -21,20 +21,27 @@ def _folder(spark: SparkSession, sf_dir: str) -> ParquetFolder:
     return ParquetFolder(spark, sf_dir, facts.KEYS)
 
 
-def _counted(source: ParquetFolder, listing: DataFrame) -> DataFrame:
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[ParquetFolder, list[str]]:
+    source = _folder(spark, sf_dir)
+    names = source.names()
+    source.open(names)
+    return source, names
+
+
+def _counted(source: ParquetFolder, names: list[str], listing: DataFrame) -> DataFrame:
     """Catalog rows next to the number of rows their table holds."""
-    return listing.join(profile.row_counts(source, source.names()), "tabla", "left")
+    return listing.join(profile.row_counts(source, names), "tabla", "left")
 
 
 def table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    catalog = source.catalog(source.names())
-    return _counted(source, lookups.base_tables(catalog.tables)).orderBy("tabla")
+    source, names = _opened(spark, sf_dir)
+    catalog = source.catalog(names)
+    return _counted(source, names, lookups.base_tables(catalog.tables)).orderBy("tabla")
 
 
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    return profile.row_counts(source, source.names())
+    source, names = _opened(spark, sf_dir)
+    return profile.row_counts(source, names)
 
 
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,39 +59,39 @@ def size_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    listing = lookups.table_columns(source.catalog(source.names()).columns)
-    return _counted(source, listing.select("tabla", "ordinal_position", "column_name"))
+    source, names = _opened(spark, sf_dir)
+    listing = lookups.table_columns(source.catalog(names).columns)
+    return _counted(source, names, listing.select("tabla", "ordinal_position", "column_name"))
 
 
 def pk_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    cat = source.catalog(source.names())
-    return _counted(source, lookups.primary_keys(cat.pg_index, cat.pg_attribute, cat.pg_class))
+    source, names = _opened(spark, sf_dir)
+    cat = source.catalog(names)
+    return _counted(source, names, lookups.primary_keys(cat.pg_index, cat.pg_attribute, cat.pg_class))
 
 
 def fk_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    cat = source.catalog(source.names())
+    source, names = _opened(spark, sf_dir)
+    cat = source.catalog(names)
     return _counted(
-        source, lookups.foreign_keys(cat.table_constraints, cat.key_column_usage, cat.constraint_column_usage)
+        source, names, lookups.foreign_keys(cat.table_constraints, cat.key_column_usage, cat.constraint_column_usage)
     )
 
 
 def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
-    return _counted(source, lookups.indexes(source.catalog(source.names()).pg_indexes))
+    source, names = _opened(spark, sf_dir)
+    return _counted(source, names, lookups.indexes(source.catalog(names).pg_indexes))
 
 
 def pk_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
+    source, _ = _opened(spark, sf_dir)
     candidates = [*facts.PRIMARY.items(), *facts.UNDECLARED_CANDIDATES]
     checks = [keys.verify_key(source.read(table), table, columns) for table, columns in candidates]
     return profile.union_all(checks)
 
 
 def fk_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = _folder(spark, sf_dir)
+    source, _ = _opened(spark, sf_dir)
     checks = [
         keys.verify_foreign_key(source.read(key.table), source.read(key.parent), key)
         for key in (*facts.FOREIGN, facts.BROKEN_REFERENCE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,11 @@ class ParquetFolder:
             self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._opened[name]
 
+    def open(self, names: Sequence[str]) -> None:
+        """Read the schemas of several tables at the same time."""
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(self.read, names))
+
     def row_count(self, name: str) -> DataFrame:
         return self.read(name).agg(F.count(F.lit(1)).alias("registros"))
 
