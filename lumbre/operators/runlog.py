@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumbre.functions.text import first_value_after
+from lumbre.operators.ordered import percentiles
+from lumbre.storage import cut_lineage
 
 # States a job controller reports and what they mean.
 COMPLETED = "COMPLETED"
@@ -185,24 +187,25 @@ TERMINAL = ("success", "failed", "timeout")
 
 
 def job_durations(outcomes: DataFrame, job: Sequence[str] = ("app_name",)) -> DataFrame:
-    """Per job: runs, finished runs, success rate of the finished ones, and their durations in seconds.
-
-    The percentiles come from a sketch of bounded size; they are exact for jobs with up to some thousand runs.
-    """
+    """Per job: runs, finished runs, success rate of the finished ones, and their durations in seconds."""
     finished = F.col("status").isin(*TERMINAL)
-    took = F.when(finished, F.col("duration_seconds"))
-    return outcomes.groupBy(*job).agg(
+    took = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
+    runs = cut_lineage(  # read for the totals and for the percentiles
+        outcomes.select(*job, "status", "start_time", "end_time", F.when(finished, took).alias("took"))
+    )
+    ended = F.count("took")
+    totals = runs.groupBy(*job).agg(
         F.count(F.lit(1)).alias("runs"),
-        F.count(F.when(finished, 1)).alias("finished"),
-        (F.count(F.when(F.col("status") == "success", 1)) / F.nullif(F.count(F.when(finished, 1)), F.lit(0))).alias(
-            "success_rate"
-        ),
-        F.avg(took).alias("avg_seconds"),
-        F.percentile_approx(took, 0.5, 10_000).alias("p50_seconds"),
-        F.percentile_approx(took, 0.95, 10_000).alias("p95_seconds"),
+        ended.alias("finished"),
+        (F.count(F.when(F.col("status") == "success", 1)) / F.nullif(ended, F.lit(0))).alias("success_rate"),
+        # whole microseconds are summed, so the average does not depend on the order of the rows
+        (F.sum("took") / F.nullif(ended, F.lit(0)) / 1_000_000).alias("avg_seconds"),
         F.min("start_time").alias("first_start"),
         F.max("end_time").alias("last_end"),
     )
+    ranked = percentiles(runs, "took", {"p50": 0.5, "p95": 0.95}, job)
+    seconds = [(F.col(p) / 1_000_000).alias(f"{p}_seconds") for p in ("p50", "p95")]
+    return totals.join(ranked.select(*job, *seconds), list(job), "left")
 
 
 def run_records(outcomes: DataFrame, job_name: Column, app_name: Column, parameters: dict[str, str]) -> DataFrame:

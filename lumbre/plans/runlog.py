@@ -105,7 +105,7 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "state",
         time_text("start_time"),
         time_text("end_time"),
-        F.round("duration_seconds", 3).alias("duration_seconds"),
+        "duration_seconds",
         "elapsed_seconds",
         "polls",
         "unknown_polls",
@@ -114,8 +114,7 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = runlog.job_durations(outcomes(spark, sf_dir))
-    seconds = [F.round(c, 3).alias(c) for c in ("success_rate", "avg_seconds", "p50_seconds", "p95_seconds")]
-    return jobs.select("app_name", "runs", "finished", *seconds, time_text("first_start"), time_text("last_end"))
+    return jobs.withColumns({c: time_text(c) for c in ("first_start", "last_end")})
 
 
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +133,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status",
         "state",
         "exit_code",
-        F.round("duration_seconds", 3).alias("duration_seconds"),
+        "duration_seconds",
         time_text("start_time"),
         time_text("end_time"),
         "elapsed_seconds",
@@ -248,7 +247,7 @@ def sql_time(expression: str) -> str:
 
 
 _SPAN = f"""{sql_time("started")} AS start_time, {sql_time("ended")} AS end_time,
-       round(CAST(ended - started AS DOUBLE) / 1000000, 3) AS duration_seconds,
+       CAST(ended - started AS DOUBLE) / 1000000 AS duration_seconds,
        CAST((ended - started) // 1000000 AS INTEGER) AS elapsed_seconds"""
 
 OUTCOME_COLUMNS = f"app_name, run_no, status, state, {_SPAN}, polls, unknown_polls"
@@ -266,12 +265,12 @@ SQL = {
     "log_tail_failed": _tail_sql(LINES, "run_id", 30),
     "run_outcomes": f"WITH {outcome_ctes()} SELECT {OUTCOME_COLUMNS} FROM outcomes",
     "run_durations": f"""WITH {outcome_ctes()}, took AS (
-          SELECT *, CASE WHEN status IN ('success', 'failed', 'timeout')
-                         THEN CAST(ended - started AS DOUBLE) / 1000000 END AS seconds FROM outcomes)
-        SELECT app_name, count(*) AS runs, count(seconds) AS finished,
-               round(CAST(count(*) FILTER (WHERE status = 'success') AS DOUBLE) / nullif(count(seconds), 0), 3) AS success_rate,
-               round(avg(seconds), 3) AS avg_seconds, round(quantile_disc(seconds, 0.5), 3) AS p50_seconds,
-               round(quantile_disc(seconds, 0.95), 3) AS p95_seconds,
+          SELECT *, CASE WHEN status IN ('success', 'failed', 'timeout') THEN ended - started END AS us FROM outcomes)
+        SELECT app_name, count(*) AS runs, count(us) AS finished,
+               CAST(count(*) FILTER (WHERE status = 'success') AS DOUBLE) / nullif(count(us), 0) AS success_rate,
+               CAST(sum(us) AS DOUBLE) / nullif(count(us), 0) / 1000000 AS avg_seconds,
+               CAST(quantile_disc(us, 0.5) AS DOUBLE) / 1000000 AS p50_seconds,
+               CAST(quantile_disc(us, 0.95) AS DOUBLE) / 1000000 AS p95_seconds,
                {sql_time("min(started)")} AS first_start, {sql_time("max(ended)")} AS last_end
         FROM took GROUP BY app_name""",
     "run_records": f"""WITH {outcome_ctes()}

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lumbre.operators import curves, logistic, montecarlo, ranking, samples, words
-from lumbre.operators.ordered import in_segments, running_totals
+from lumbre.operators.ordered import in_segments, percentiles, running_totals
 from lumbre.sources import files
 
 EXAMPLES = os.path.join(os.path.dirname(pyspark.__file__), "data", "mllib")
@@ -98,6 +98,18 @@ def test_running_totals_descending_without_key(spark):
     assert found.filter("t <> (999 + id) * (1000 - id) div 2").count() == 0
 
 
+def test_percentiles_with_a_hot_key(spark):
+    draw = random.Random(9)
+    data = [(draw.choice(["hot"] * 6 + ["a", "b"]), draw.choice([None, *range(40)])) for _ in range(900)] + [("none", None), ("one", 3)]
+    df = spark.createDataFrame(data, "k string, v int").withColumn("v", F.col("v").cast("double"))
+    shares = {"p0": 0.001, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = {r.k: (r.p0, r.p50, r.p95, r.p100) for r in percentiles(df, "v", shares, ["k"]).collect()}
+    for key in ("hot", "a", "b", "one"):
+        values = sorted(v for k, v in data if k == key and v is not None)
+        assert found.pop(key) == tuple(float(values[math.ceil(p * len(values)) - 1]) for p in shares.values())
+    assert not found
+
+
 def scored_fixture(spark, n=500):
     draw = random.Random(3)
     data = [(float(draw.random() < 0.3), round(draw.random(), 2)) for _ in range(n)]
