@@ -26,7 +26,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 def in_segments(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), segments: int | None = None) -> DataFrame:
     """``df`` cut into about equal ranges of ``keys`` and ``order``, numbered in ``_segment``.
 
-    The result is written to reliable storage: range bounds come from a sample, and everything computed from the
+    The result is written to the shared folder: range bounds come from a sample, and everything computed from the
     segments has to see the same ones, also after an executor is lost.
     """
     count = segments or shuffle_partitions(df)

@@ -28,5 +28,5 @@ def totals_by(df: DataFrame, group: Sequence[str], amount: Column) -> DataFrame:
     return df.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.sum(amount), 2).alias("total"),
-        F.round(F.avg(amount), 2).alias("average"),
+        F.round(F.avg(amount), 6).alias("average"),
     )

@@ -79,20 +79,19 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binary_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.area_under_roc(scored_labels(spark, sf_dir)).withColumn("auc", F.round("auc", 6))
+    return curves.area_under_roc(scored_labels(spark, sf_dir))
 
 
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = curves.roc_curve(scored_labels(spark, sf_dir))
-    return points.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return curves.roc_curve(scored_labels(spark, sf_dir))
 
 
 def f_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.f_measures(scored_labels(spark, sf_dir)).withColumn("f_measure", F.round("f_measure", 6))
+    return curves.f_measures(scored_labels(spark, sf_dir))
 
 
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.best_threshold(scored_labels(spark, sf_dir)).withColumn("f_measure", F.round("f_measure", 6))
+    return curves.best_threshold(scored_labels(spark, sf_dir))
 
 
 FEATURES = ("log_chars", "word_count", "distinct_ratio")
@@ -183,7 +182,7 @@ curve AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS
 f AS (SELECT score AS threshold, CAST(2 * tp AS DOUBLE) / CAST(tp + fp + all_p AS DOUBLE) AS f_measure FROM curve)
 """
 
-_TOTALS = """count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS average"""
+_TOTALS = """count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS average"""
 
 SQL = {
     "monte_carlo_pi": f"""WITH points AS (SELECT {_spread_sql("l_orderkey", "l_linenumber", SPREAD_X, SPREAD_Y)} AS x,
@@ -197,9 +196,9 @@ SQL = {
     "etl_roundtrip": f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, o_orderstatus, {_TOTALS}
         FROM orders GROUP BY 1, 2""",
     "binary_auc": CURVE + """SELECT CAST(max(all_p) AS BIGINT) AS positives, CAST(max(all_n) AS BIGINT) AS negatives,
-        round(sum(n * (tp - p / 2)) / (CAST(max(all_p) AS DOUBLE) * CAST(max(all_n) AS DOUBLE)), 6) AS auc FROM curve""",
-    "roc_curve": CURVE + """SELECT score AS threshold, round(fp / all_n, 6) AS fpr, round(tp / all_p, 6) AS tpr FROM curve
+        sum(n * (tp - p / 2)) / (CAST(max(all_p) AS DOUBLE) * CAST(max(all_n) AS DOUBLE)) AS auc FROM curve""",
+    "roc_curve": CURVE + """SELECT score AS threshold, CAST(fp AS DOUBLE) / all_n AS fpr, CAST(tp AS DOUBLE) / all_p AS tpr FROM curve
         UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT NULL, 1.0::DOUBLE, 1.0::DOUBLE""",
-    "f_measure": CURVE + "SELECT threshold, round(f_measure, 6) AS f_measure FROM f",
-    "best_threshold": CURVE + "SELECT threshold, round(f_measure, 6) AS f_measure FROM f ORDER BY f.f_measure DESC, threshold DESC LIMIT 1",
+    "f_measure": CURVE + "SELECT threshold, f_measure FROM f",
+    "best_threshold": CURVE + "SELECT threshold, f_measure FROM f ORDER BY f_measure DESC, threshold DESC LIMIT 1",
 }

@@ -22,7 +22,7 @@ def database(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     return repr(value)
 
 
