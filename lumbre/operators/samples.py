@@ -7,12 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbre.operators.ordered import in_segments, running_totals
+
 DEFAULT_ROWS = 1_000
+# As many rows as one task may be given.
+ROWS_IN_ONE_TASK = 100_000
+
 
+def first_rows(
+    df: DataFrame, key: Sequence[str], num_rows: int = DEFAULT_ROWS, in_one_task: int = ROWS_IN_ONE_TASK
+) -> DataFrame:
+    """The first ``num_rows`` rows by ``key``, which tells all rows apart.
 
-def first_rows(df: DataFrame, key: Sequence[str], num_rows: int = DEFAULT_ROWS) -> DataFrame:
-    """The first ``num_rows`` rows by ``key``: every task keeps its own first rows, only those meet."""
-    return df.orderBy(*key).limit(num_rows)
+    Every task keeps its own first rows and only those meet in one task.  Where that would be too many, rows are
+    numbered in segments instead.
+    """
+    if num_rows <= in_one_task:
+        return df.orderBy(*key).limit(num_rows)
+    order = [F.asc(k) for k in key]
+    numbered = running_totals(in_segments(df, order), order, {"_row": ("sum", F.lit(1))})
+    return numbered.filter(F.col("_row") <= num_rows).drop("_row")
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
