@@ -164,10 +164,9 @@ def _values(rows) -> str:
 COUNTS = "counts(tabla, registros) AS (" + " UNION ALL ".join(
     f"SELECT '{t}', count(*) FROM {t}" for t in facts.TABLES
 ) + ")"
-COLUMNS = (
-    "cols(tabla, pos, col) AS (SELECT table_name, ordinal_position, column_name FROM information_schema.columns "
-    "WHERE table_name IN (" + ", ".join(f"'{t}'" for t in facts.TABLES) + "))"
-)
+COLUMNS = "cols(tabla, pos, col) AS (" + " UNION ALL ".join(
+    f"SELECT '{t}', row_number() OVER (), column_name FROM (DESCRIBE {t})" for t in facts.TABLES
+) + ")"
 PKS = "pks(tabla, pos, col) AS (" + _values(
     (t, i, c) for t, columns in facts.PRIMARY.items() for i, c in enumerate(columns, start=1)
 ) + ")"
@@ -235,8 +234,7 @@ _DETAIL = """concat_ws(chr(10), '📊 Tabla: ' || tabla, '   • Registros: ' ||
        '   • Índices (' || cantidad_indices || '): ' || indices)"""
 
 SQL = {
-    "table_list": f"""WITH {COUNTS} SELECT t.table_name AS tabla, registros
-        FROM information_schema.tables t JOIN counts ON counts.tabla = t.table_name""",
+    "table_list": f"WITH {COUNTS} SELECT * FROM counts",
     "table_row_counts": f"WITH {COUNTS} SELECT * FROM counts",
     "size_pretty": f"""SELECT {_SIZE_TEXT} AS size_text, count(*) AS n
         FROM (SELECT CAST(floor(l_extendedprice) AS BIGINT) * (CAST(1 AS BIGINT) << (5 * l_linenumber)) AS b FROM lineitem)

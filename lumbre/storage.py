@@ -49,7 +49,7 @@ def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     catalog only until it has been opened; its files stay in the shared folder.
     """
     spark = df.sparkSession
-    name = f"lumbre_{uuid.uuid4().hex}"
+    name = f"spark_catalog.default.lumbre_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", new_folder(spark, "bucketed")).saveAsTable(name)
     written = spark.table(name)

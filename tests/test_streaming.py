@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbre.operators import runlog, words
+from lumbre.sources.files import stream_lines
 from lumbre.streaming.outcomes import reduce_batches, stream_outcomes
 from lumbre.streaming.tables import (
     PROVIDER,
@@ -44,6 +45,15 @@ def test_word_count_goes_on_where_it_stopped(spark, tmp_path, rows):
     assert spark.read.parquet(f"{out}/table").filter("word = 'c'").count() == 1
 
 
+def test_text_files_as_a_stream(spark, tmp_path, rows):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name, text in {"a.txt": "a b\n\n", "b.txt": " b"}.items():
+        (source / name).write_text(text)
+        update_available(words.word_count(stream_lines(stream_session(spark), str(source))), out)
+    assert rows(read_latest(spark, out, ["word"])) == [("", 2), ("a", 1), ("b", 2)]
+
+
 def timeline(seed, runs=60):
     draw = random.Random(seed)
     data = []
