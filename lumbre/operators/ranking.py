@@ -12,6 +12,8 @@ from lumbre.storage import bucketed, cut_lineage
 LINKS_PER_TASK = 1_000_000
 # … and the list of such sources, which is broadcast, is never longer than this.
 MAX_SPLIT_SOURCES = 2_000
+# Links are written in buckets where there are more than this for each; fewer are cheaper to move than to place.
+LINKS_PER_BUCKET = 100_000
 # A task holds the shares of about this many nodes in memory while it reads its links.
 NODES_PER_TASK = 1_000_000
 
@@ -21,6 +23,7 @@ def page_rank(
     iterations: int = 5,
     damping: float = 0.85,
     links_per_task: int = LINKS_PER_TASK,
+    links_per_bucket: int = LINKS_PER_BUCKET,
     cut_every: int = 5,
 ) -> DataFrame:
     """``node, rank`` after ``iterations`` rounds over the distinct links of ``edges(src, dst)``.
@@ -29,13 +32,15 @@ def page_rank(
     ``rank = (1 - damping) + damping * received``.  Nodes that receive nothing drop out, nodes without links pass
     nothing on, and ranks are not normalised.
 
-    The links are written once in buckets of the key they are joined on, so a round shuffles partially summed shares
+    Many links are written once in buckets of the key they are joined on, so a round shuffles partially summed shares
     but never the links.  A source with very many links is spread over several tasks; its share is repeated once per
     part.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
     parts = shuffle_partitions(links)
-    degrees = bucketed(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("links")), parts, "node")
+    spread = links.count() > parts * links_per_bucket
+    degrees = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    degrees = bucketed(degrees, parts, "node") if spread else cut_lineage(degrees)
     links_of = F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.max("links"), F.lit(0)).alias("most")
     size = degrees.agg(F.count(F.lit(1)).alias("nodes"), *links_of).first()
     if size.nodes > parts * NODES_PER_TASK:
@@ -51,7 +56,10 @@ def page_rank(
         links = links.join(F.broadcast(split), "src", "left").select(
             "src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), "splits"), F.lit(0)).cast("int").alias("part")
         )
-    links = bucketed(links, parts, *by)
+    if spread:
+        links = bucketed(links, parts, *by)
+    elif skewed:
+        links = cut_lineage(links)
 
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
@@ -60,8 +68,9 @@ def page_rank(
         )
         if skewed:
             shares = shares.select("src", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
+        shares = shares.drop("splits")
         ranks = (
-            links.join(shares.drop("splits").hint("shuffle_hash"), by)
+            links.join(shares.hint("shuffle_hash") if spread else shares, by)
             .groupBy(F.col("dst").alias("node"))
             .agg((F.lit(1 - damping) + damping * F.sum("share")).alias("rank"))
         )

@@ -12,6 +12,7 @@ from lumbre.storage import new_folder
 from lumbre.streaming.outcomes import stream_outcomes
 from lumbre.streaming.tables import (
     append_available,
+    partitions_for,
     read_appended,
     read_latest,
     stream_session,
@@ -23,9 +24,14 @@ LATE_BY = "1 hour"
 LATE_BY_MICROS = 3600 * 1_000_000
 
 
+def replayed(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream of its own session, with state partitions to suit its size."""
+    return stream_table(stream_session(spark, partitions_for(spark.read.parquet(path))), path)
+
+
 def word_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "word-count")
-    documents = stream_table(stream_session(spark), f"{sf_dir}/documents.parquet")
+    documents = replayed(spark, f"{sf_dir}/documents.parquet")
     update_available(words.word_count(words.text_lines(documents, "text")), path)
     return read_latest(spark, path, ["word"])
 
@@ -33,7 +39,7 @@ def word_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cadence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour buckets kept up to date as events arrive, with late ones up to an hour."""
     path = new_folder(spark, "cadence")
-    events = stream_table(stream_session(spark), f"{sf_dir}/events.parquet")
+    events = replayed(spark, f"{sf_dir}/events.parquet")
     totals = (
         events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
         .withWatermark("ts", LATE_BY)
@@ -49,7 +55,7 @@ def run_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes that were certain when the stream had seen all polls."""
     path = new_folder(spark, "outcomes")
     runlog.event_polls(spark, sf_dir).write.parquet(f"{path}/polls")
-    polls = stream_table(stream_session(spark), f"{path}/polls")
+    polls = replayed(spark, f"{path}/polls")
     buckets = 4 * shuffle_partitions(polls)
     append_available(
         stream_outcomes(polls, LATE_BY, runlog.MAX_UNKNOWN, runlog.MAX_WAIT_SECONDS, buckets), path

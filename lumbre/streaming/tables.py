@@ -11,15 +11,25 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for a stream: state lives in RocksDB (on disk) unless the caller chose a store."""
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of its own for a stream: state lives in RocksDB (on disk) unless the caller chose a store.
+
+    ``partitions`` is the number of state partitions; a stream keeps the number it was started with.
+    """
     own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", partitions or spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set(PROVIDER, spark.conf.getAll.get(PROVIDER, ROCKSDB))
     return own
 
 
+def partitions_for(table: DataFrame) -> int:
+    """State partitions for a stream over what ``table`` holds: one per input split, within the session's setting."""
+    spark = table.sparkSession
+    splits = max(table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    return min(splits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def stream_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A Parquet table, one file or a folder of files, as a stream of its files.
 

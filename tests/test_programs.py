@@ -62,15 +62,16 @@ def brute_force_ranks(edges, rounds):
 
 
 @pytest.mark.parametrize("links_per_task", [1_000_000, 20])
-@pytest.mark.parametrize("rounds", [0, 1, 7])
-def test_page_rank_with_a_hot_source(spark, links_per_task, rounds):
+@pytest.mark.parametrize(("rounds", "links_per_bucket"), [(0, 1), (1, 1), (7, 1), (7, 1000)])
+def test_page_rank_with_a_hot_source(spark, links_per_task, rounds, links_per_bucket):
     """One node has a third of all links; splitting it changes nothing."""
     draw = random.Random(5)
     edges = [("hub", f"n{i}") for i in range(100)]
     edges += [(f"n{draw.randrange(150)}", f"n{draw.randrange(150)}") for _ in range(180)] + [("n1", "hub"), ("n2", "sink")]
     edges += edges[:20]
     df = spark.createDataFrame(edges, "src string, dst string")
-    found = {r.node: r["rank"] for r in ranking.page_rank(df, rounds, links_per_task=links_per_task, cut_every=3).collect()}
+    options = {"links_per_task": links_per_task, "links_per_bucket": links_per_bucket, "cut_every": 3}
+    found = {r.node: r["rank"] for r in ranking.page_rank(df, rounds, **options).collect()}
     assert found == pytest.approx(brute_force_ranks(edges, rounds))
 
 

@@ -6,6 +6,8 @@ import pytest
 from compare import database, differences
 
 import __spark_entry__ as entry_points
+from lumbre.operators.ranking import page_rank
+from lumbre.plans.programs import purchase_graph
 
 QUERIES = entry_points.queries()
 SQL = entry_points.oracle_sql()
@@ -69,7 +71,7 @@ def test_rounds_do_not_shuffle_the_links(spark, sf_dir):
     before = spark.conf.get(threshold)
     spark.conf.set(threshold, "-1")
     try:
-        plan = plan_of(QUERIES["pagerank"](spark, sf_dir))
+        plan = plan_of(page_rank(purchase_graph(spark, sf_dir), 5, links_per_bucket=1))
     finally:
         spark.conf.set(threshold, before)
     assert plan.count("Exchange") == 5
