@@ -30,7 +30,7 @@ REMEMBERED = 1_000_000
 STRETCH = 1 << 20
 
 # Unicode's White_Space characters, which the splitting pattern calls \s.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text into words with at most one space before them, and white space; each is split further by itself.
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")

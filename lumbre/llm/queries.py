@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import byte_bpe, secret_scan
+from lumbre.llm import byte_bpe, packing, secret_scan, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +46,35 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of all documents with their slots and a checksum in place of the ids."""
+    encoded = packing.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+    cut = packing.pieces(encoded).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_kd_sharding": op4_kd_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
