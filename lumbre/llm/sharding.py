@@ -14,7 +14,6 @@ placed as often as they occur, all in one shard.  Other columns are not read.  A
 """
 
 import math
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +36,14 @@ def text_code(column: Column) -> Column:
     return F.conv(first, 16, 10).cast("double")
 
 
-#: Dimensions from columns of the groups.
-DIMENSIONS: Mapping[str, Column] = {
-    "source": text_code(F.min("source")),
-    "lang": text_code(F.min("lang")),
-    "size": F.log2(F.min("size").cast("double")),
-    "age": F.coalesce(F.min("doc_id"), F.lit(0)).cast("double"),
-}
+def dimensions_of_groups() -> dict[str, Column]:
+    """The metadata dimensions, as aggregates over the rows of a group."""
+    return {
+        "source": text_code(F.min("source")),
+        "lang": text_code(F.min("lang")),
+        "size": F.log2(F.min("size").cast("double")),
+        "age": F.coalesce(F.min("doc_id"), F.lit(0)).cast("double"),
+    }
 
 
 @dataclass
@@ -144,8 +144,9 @@ def split_heavy(node: Node, share: float) -> tuple[list, list]:
 
 def kd_shards(rows: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """``digest, shard`` for the groups of ``rows`` (from ``sized``): as many shards as asked for, or as the target needs."""
-    dimensions = list(DIMENSIONS)
-    aggregates = [F.sum("size").alias("weight"), *(column.alias(d) for d, column in DIMENSIONS.items())]
+    metadata = dimensions_of_groups()
+    dimensions = list(metadata)
+    aggregates = [F.sum("size").alias("weight"), *(column.alias(d) for d, column in metadata.items())]
     groups = cut_lineage(rows.groupBy("digest").agg(*aggregates))
     total = groups.agg(F.sum("weight")).first()[0] or 0
     shards = shards or max(1, math.ceil(total / target_bytes))
