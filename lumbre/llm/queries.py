@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import byte_bpe, exact_dedup, packing, secret_scan, sharding, warc
+from lumbre.llm import byte_bpe, exact_dedup, packing, quality, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,13 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The pieces of all documents with their slots and a checksum in place of the ids."""
     encoded = packing.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -104,6 +111,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_sharding": op4_kd_sharding,
+    "op7_quality_outliers": op7_quality_outliers,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_warc_index": op10_warc_index,
 }
