@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import byte_bpe, exact_dedup, packing, quality, secret_scan, sharding, warc
+from lumbre.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -89,6 +93,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op9_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(how_many("personal", kind).alias(f"n_{kind}") for kind in pii.BASE),
+        hex_sha256(listed("personal", lambda s: s.kind.isin(*pii.BASE))).alias("base_sha256"),
+        listed("personal").alias("spans"),
+    )
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return warc.read_archive(spark, warc.write_archive(pages), pages)
@@ -111,8 +125,10 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_sharding": op4_kd_sharding,
+    "op6_order_minhash": op6_order_minhash,
     "op7_quality_outliers": op7_quality_outliers,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_semi_crf_pii": op9_semi_crf_pii,
     "op10_warc_index": op10_warc_index,
 }
 
