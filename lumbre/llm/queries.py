@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import byte_bpe, exact_dedup, near_dedup, packing, pii, quality, secret_scan, sharding, warc
+from lumbre.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,17 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("deleted").cast("long").alias("n_deleted"),
+        F.array_join(F.col("deleted").cast("array<string>"), ",").alias("deleted"),
+        hex_sha256(F.coalesce("text", F.lit(""))).alias("clean_sha256"),
+    )
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -125,6 +136,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_sharding": op4_kd_sharding,
+    "op5_line_winnowing": op5_line_winnowing,
     "op6_order_minhash": op6_order_minhash,
     "op7_quality_outliers": op7_quality_outliers,
     "op8_best_fit_packing": op8_best_fit_packing,
