@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from lumbre.storage import cut_lineage, new_folder
 from lumbre.streaming.tables import stream_session
 
+#: Whether a store takes space on disk in advance: some megabytes for each of many partitions.
+PREALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -69,6 +73,7 @@ def deduplicate(
     arrivals(docs, digest, key).write.parquet(f"{log}/rows")
     rows = spark.read.parquet(f"{log}/rows")
     own = stream_session(spark)
+    own.conf.set(PREALLOCATE, "false")
     source = own.readStream.schema(rows.schema).option("maxBytesPerTrigger", batch_bytes)
     if batch_files:
         source = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", batch_files)
@@ -79,7 +84,7 @@ def deduplicate(
     decided = rows.join(seen, "_digest")
     mixed = cut_lineage(unequal(docs, seen, digest))
     if not mixed.isEmpty():  # texts with the same digest: nothing but the text can tell them apart
-        decided = decided.join(mixed.select("_digest").distinct(), "_digest", "left_anti")
+        decided = decided.join(mixed, "_digest", "left_anti")
         decided = decided.unionByName(by_text(docs, mixed, digest, key))
     last = F.col("_last")
     return decided.select(
@@ -96,14 +101,14 @@ def deduplicate(
 
 
 def unequal(docs: DataFrame, seen: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """``_digest, _text`` of the hits whose bytes are not all the same.
+    """``_digest`` of the hits whose bytes are not all the same.
 
-    Equal bytes meet as one grouping key, reduced in every task before the shuffle.
+    Equal bytes meet as one grouping key, reduced in every task before the shuffle; the only one that texts go through.
     """
     content = docs.select(digest(whole(docs)).alias("_digest"), whole(docs).alias("_text"))
     classes = content.groupBy("_digest", "_text").agg(F.count(F.lit(1)).alias("_equal"))
     hits = seen.filter("_size > 1").select("_digest", "_size")
-    return classes.join(hits, "_digest").filter("_equal <> _size").select("_digest", "_text")
+    return classes.select("_digest", "_equal").join(hits, "_digest").filter("_equal <> _size").select("_digest").distinct()
 
 
 def by_text(docs: DataFrame, mixed: DataFrame, digest: Callable[[Column], Column], key: str) -> DataFrame:
@@ -114,7 +119,7 @@ def by_text(docs: DataFrame, mixed: DataFrame, digest: Callable[[Column], Column
         F.col(key).alias("_id"),
         *place(),
         whole(docs).alias("_text"),
-    ).join(mixed, ["_digest", "_text"])
+    ).join(mixed, "_digest")
     groups = content.groupBy("_digest", "_text").agg(
         F.max(F.struct("_id", "_file", "_row")).alias("_last"), F.count(F.lit(1)).alias("_size")
     )
