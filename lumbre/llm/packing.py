@@ -25,42 +25,62 @@ from lumbre.storage import cut_lineage
 
 CAPACITY = 2048
 CLOSING = 0
+#: Results remembered per worker and memory, twice as many at most, of some hundred bytes each.
+REMEMBERED = 250_000
 
 #: White space for Python but not for the tokenizer, and a split that knows it.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD = re.compile(f"[^{WHITE}]+")
+#: Words of which every normalisation leaves each character one character: printable ASCII and Latin letters.  Their
+#: pieces by the tokenizer's own pattern, once in lower case.
+PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
-@functools.lru_cache(maxsize=2)
-def _words(content: bytes) -> tuple:
-    """The tokenizer, and what this worker remembers of it: the packed ids of a word.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the rest from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {byte: chr(byte if byte in printable else next(others)) for byte in range(256)}
+
+
+class Words:
+    """The ids of words by a tokenizer file, and what this worker remembers of them.
 
-    White space separates whatever the tokenizer does, so a text's ids are those of its words.
+    White space separates whatever the tokenizer does, so a text's ids are those of its words.  Plain words are cut into pieces
+    and given to the tokenizer's merges directly; any other word goes through the whole tokenizer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(content.decode())
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    def __init__(self, content: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def packed(word: str) -> bytes:
-        return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_str(content.decode())
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.pieces = Memory(self._piece, REMEMBERED)
+        self.words = Memory(self._word, REMEMBERED)
 
-    return tokenizer, Memory(packed)
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            return b"".join([self.pieces[p] for p in PIECE.findall(word.lower())])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-def packed_ids(text: str, content: bytes) -> bytes:
-    """The ids of a text and the closing id, as little-endian unsigned 32-bit integers."""
-    tokenizer, memory = _words(content)
-    words = WORD.findall(text) if SEPARATORS.search(text) else text.split()
-    new = [w for w in set(words) if w not in memory]
-    if len(memory) + len(new) > memory.limit:
-        memory.clear()
-        new = list(set(words))
-    if len(new) <= memory.limit:
-        encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-    return b"".join(map(memory.__getitem__, words)) + CLOSING.to_bytes(4, "little")
+    def packed(self, text: str) -> bytes:
+        """The ids of a text and the closing id, as little-endian unsigned 32-bit integers."""
+        words = WORD.findall(text) if SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.words.__getitem__, words)) + CLOSING.to_bytes(4, "little")
+
+
+@functools.lru_cache(maxsize=2)
+def words_of(content: bytes) -> Words:
+    """One per Python worker, so that the tasks it runs share what it remembers."""
+    return Words(content)
 
 
 def token_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,8 +89,9 @@ def token_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(texts):
+        words = words_of(content.value)
         for batch in texts:
-            yield pa.array([packed_ids(t.as_py(), content.value) for t in batch], pa.binary())
+            yield pa.array([words.packed(t.as_py()) for t in batch], pa.binary())
 
     encode.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     ids = F.arrow_udf(encode, "binary")(F.coalesce(F.col(text), F.lit("")))
