@@ -38,8 +38,8 @@ SAMPLE = 40
 #: Characters of context on both sides of what may be an entity.
 AROUND = 32
 #: How much better than no entity a segment must score to be added.
-MARGIN = 2.0
-ROUNDS, RATE, PENALTY = 60, 1.5, 0.0005
+MARGIN = 1.0
+ROUNDS, RATE, PENALTY = 60, 4.0, 0.0002
 #: Longer stretches are no training examples.
 EXAMPLE_TOKENS = 40
 
