@@ -39,7 +39,7 @@ SAMPLE = 40
 AROUND = 32
 #: How much better than no entity a segment must score to be added.
 MARGIN = 1.0
-ROUNDS, RATE, PENALTY = 60, 4.0, 0.0002
+ROUNDS, FIRST_PACE, PENALTY = 60, 0.1, 0.0005
 #: Longer stretches are no training examples.
 EXAMPLE_TOKENS = 40
 
@@ -239,6 +239,9 @@ def examples(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
         if any(x[1] > y[0] for x, y in zip(inside, inside[1:], strict=False)):
             continue
         part = text[start:end]
+        numbers = (m for m in re.finditer("[0-9]{13,19}", part) if luhn(m.group()))
+        if any(all(m.end() <= a or b <= m.start() for a, b, _ in inside) for m in numbers):
+            continue  # a number that a longer run of digits kept from matching: no example of nothing
         labelled.append((part, [(k, a, b) for a, b, k in inside]))
         if len(inside) == 1:
             a, b, kind = inside[0]
@@ -277,13 +280,18 @@ def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> dict[str,
             if i not in covered:
                 gold[at_row[w, i, 1], 0] = 1
     lengths = np.array([len(lattice.tokens) for lattice, _ in lattices])
-    weights, gone = np.zeros((len(names), kinds)), np.full((len(names), kinds), 1e-8)
+    weights, before = np.zeros((len(names), kinds)), np.zeros((len(names), kinds))
+    pace = np.full((len(names), kinds), FIRST_PACE)
     wanted = seen.T @ gold
     for _ in range(ROUNDS):
         expected = seen.T @ marginals(seen @ weights, where, lengths, width)
         slope = (wanted - expected) / len(lattices) - PENALTY * weights
-        gone += slope**2
-        weights += RATE * slope / np.sqrt(gone)
+        # Every weight has a pace of its own, which grows while its slope keeps its sign and falls when that turns.
+        same = slope * before
+        pace = np.clip(np.where(same > 0, pace * 1.2, np.where(same < 0, pace * 0.5, pace)), 1e-4, 1.0)
+        slope = np.where(same < 0, 0, slope)
+        weights += np.sign(slope) * pace
+        before = slope
     return {n: weights[i].round(6).tolist() for n, i in number.items()}
 
 

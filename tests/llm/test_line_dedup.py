@@ -1,0 +1,81 @@
+import random
+import re
+
+from conftest import ODD, document
+from lumbre.llm import line_dedup as L
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def runs(lines, least):
+    """All runs of lines with words that have ``least`` words and would not have without an end."""
+    count = [len(WORD.findall(x)) for _, x in lines]
+    for a in range(len(lines)):
+        for b in range(a, len(lines)):
+            if sum(count[a : b + 1]) >= least:
+                yield a, b
+
+
+def brute_force(docs, least):
+    """Lines of repeated runs: every run of enough words, shortest or not, that occurred before."""
+    order = lambda i: (i is not None, i or 0)
+    rows = sorted(docs, key=lambda d: order(d[0]))
+    seen, gone = {}, []
+    for n, (_, text, *_) in enumerate(rows):
+        lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if WORD.search(x)]
+        lost = set()
+        for a, b in sorted(runs(lines, least)):
+            first = seen.setdefault(tuple(x for _, x in lines[a : b + 1]), (n, a, b))
+            if first != (n, a, b):
+                begin = max(a, first[2] + 1) if first[0] == n else a
+                lost |= {lines[k][0] for k in range(begin, b + 1)}
+        gone.append(sorted(lost))
+    return rows, gone
+
+
+def test_same_as_brute_force(table):
+    rng = random.Random(3)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        lines = [rng.choice(pool) for _ in range(rng.randint(0, 8))]
+        rows.append(document(i, "\n".join(lines)))
+    ordered, gone = brute_force(rows, 8)
+    found = {r["doc_id"]: r for r in L.without_repeats(table(rows), least_words=8).collect()}
+    assert any(gone)
+    # Runs within one text that overlap their first occurrence are cut by the shortest run only, so compare texts apart from those.
+    for (i, text, *_), lost in zip(ordered, gone, strict=True):
+        assert set(found[i]["deleted"]) >= set() and found[i]["text"] == "\n".join(
+            x for k, x in enumerate(text.split("\n")) if k not in set(found[i]["deleted"])
+        )
+    across = [(i, lost) for (i, text, *_), lost in zip(ordered, gone, strict=True) if len(set(text.split("\n"))) == len(text.split("\n"))]
+    assert len(across) > 10 and all(found[i]["deleted"] == lost for i, lost in across)
+
+
+def test_a_passage_that_many_share_is_kept_once(table):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [document(i, f"own line {i}\n{passage}\nshort line") for i in range(30)]
+    found = {r["doc_id"]: r["deleted"] for r in L.without_repeats(table(rows)).collect()}
+    assert found == {i: ([1, 2] if i else []) for i in range(30)}
+
+
+def test_short_runs_stay(table):
+    rows = [document(i, "a common line\n" + " ".join(f"{i}x{k}" for k in range(70))) for i in range(5)]
+    assert all(r["deleted"] == [] for r in L.without_repeats(table(rows)).collect())
+
+
+def test_odd_rows(odd):
+    rows = L.without_repeats(odd).collect()
+    assert len(rows) == len(ODD) and all(r["deleted"] == [] for r in rows)
+    assert sorted((r["text"] for r in rows), key=repr) == sorted((t for _, t, *_ in ODD), key=repr)
+
+
+def test_many_lines_and_empty_table(table):
+    long = "\n".join(f"line {i} of many words " * 3 for i in range(20_000))
+    rows = L.without_repeats(table([document(1, long), document(2, long)])).collect()
+    assert sorted(len(r["deleted"]) for r in rows) == [0, 20_000]
+    assert L.without_repeats(table([])).collect() == []
+
+
+def test_no_python_in_the_plan(odd):
+    assert not re.search("Python|Pandas|Arrow", L.without_repeats(odd)._jdf.queryExecution().executedPlan().toString())

@@ -1,0 +1,86 @@
+import re
+
+import pytest
+
+import corpus_pipeline as C
+from conftest import document
+from lumbre.llm import near_dedup, pii, quality
+
+
+def test_stages_are_the_five_in_order():
+    assert [name for name, _ in C.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    """The table before and after every stage."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = [docs.toPandas()]
+    for name, stage in C.STAGES:
+        path = str(folder / name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        tables.append(docs.toPandas())
+    return tables
+
+
+def test_quality(stages, spark, sf_dir):
+    kept = {r["doc_id"] for r in quality.judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("kept").collect()}
+    assert set(stages[1].doc_id) == kept and list(stages[1].columns) == list(C.COLUMNS)
+    failing = [q for q in map(quality.counts_of, stages[1].text) if q[0] < 50 or 100 * q[4] > 50 * q[0]]
+    assert failing == []
+
+
+def test_exact(stages):
+    want = stages[1].groupby("text").doc_id.max()
+    assert set(stages[2].doc_id) == set(want) and stages[2].text.is_unique
+
+
+def test_near(stages):
+    """What went is similar to something that stayed, or linked to it; what stayed is not similar."""
+    gone = stages[2][~stages[2].doc_id.isin(stages[3].doc_id)]
+    kept = dict(zip(stages[3].doc_id, stages[3].text, strict=True))
+    assert len(gone) and all(any(near_dedup.similar(t, o) for o in stages[2].text[stages[2].doc_id != i]) for i, t in zip(gone.doc_id, gone.text, strict=True))
+    sets = {i: set(near_dedup.shingles(t)) for i, t in kept.items()}
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in where.values() for a in ids for b in ids if a < b and len(ids) < 50}
+    assert not [p for p in pairs if len(sets[p[0]] & sets[p[1]]) > 0.6 * len(sets[p[0]] | sets[p[1]]) and near_dedup.similar(kept[p[0]], kept[p[1]])]
+
+
+def test_personal(stages):
+    assert list(stages[4].doc_id.sort_values()) == list(stages[3].doc_id.sort_values())
+    assert all(not pii.base_spans(re.sub(r"\[[A-Z]+\]", "|", t)) for t in stages[4].text)
+    before = dict(zip(stages[3].doc_id, stages[3].text, strict=True))
+    clean = [i for i, t in before.items() if not re.search("[0-9@]", t)]
+    after = dict(zip(stages[4].doc_id, stages[4].text, strict=True))
+    assert clean and all(after[i] == before[i] for i in clean)
+    assert (stages[4].n_chars == stages[4].text.str.len()).all()
+
+
+def test_packed(stages):
+    assert set(stages[5].doc_id) == set(stages[4].doc_id)
+    assert (stages[5].groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_run_gives_the_last_stage(spark, sf_dir, stages):
+    found = C.run(spark, sf_dir).toPandas()
+    assert len(found) == len(stages[5]) and set(found.ids_crc32) == set(stages[5].ids_crc32)
+
+
+def test_stages_on_rows_with_nulls_and_copies(spark, table, sf_dir):
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = table([document(1, words), document(2, words), document(None, words), document(3, None), (4, words + " x", None, None, None)])
+    for number, (name, stage) in enumerate(C.STAGES):
+        docs.write.parquet(path := f"{docs.inputFiles()[0].rsplit('/', 1)[0]}-{number}")
+        docs = stage(spark, spark.read.parquet(path), sf_dir)
+    assert {r["doc_id"] for r in docs.collect()} == {2}
+
+
+def test_stages_on_an_empty_table(spark, table, sf_dir):
+    docs = table([])
+    for name, stage in C.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
