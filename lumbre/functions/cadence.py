@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Days from the epoch (a Thursday) to the first day of that name.
 DAYS_FROM_EPOCH = {"monday": 4, "sunday": 3}
+# Units of even width, in seconds.
+WIDTHS = {"minutes": 60, "day": 24 * 3600, "week": 7 * 24 * 3600}
 
 
 @dataclass(frozen=True)
@@ -43,22 +45,28 @@ SCHEDULES = {
 }
 
 
+def _even(local: Column, width: int, offset: int) -> Column:
+    """Start of the interval of ``width`` seconds, counted from ``offset`` seconds after the epoch; null for null."""
+    day = F.to_date(local)
+    second = F.hour(local) * 3600 + F.minute(local) * 60 + F.floor(F.second(local))
+    into = F.pmod(F.unix_date(day).cast("long") * 86_400 + second - offset, F.lit(width))
+    return day.cast("timestamp_ntz") + F.make_dt_interval(secs=(second - into).cast("decimal(18,6)"))
+
+
 def bucket_start(ts: Column, cadence: Cadence, tz: str = "UTC") -> Column:
     """Start of the bucket that holds ``ts``, as local time (timestamp without zone) in ``tz``.
 
-    ``ts`` without zone is taken as UTC.  Ticks are at wall-clock hours of ``tz``.
+    ``ts`` without zone is taken as UTC.  Ticks are at wall-clock hours of ``tz``.  A null time has a null bucket.
     """
-    local = ts.cast("timestamp_ntz")
+    shown = ts.cast("timestamp_ntz")  # of a time with zone, this is the session's wall clock
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), shown)
+    local = F.when(F.typeof(ts) == "timestamp", zoned).otherwise(shown)
     if tz != "UTC":
         local = F.convert_timezone(F.lit("UTC"), F.lit(tz), local)
     shift = F.make_dt_interval(hours=F.lit(cadence.hour))
-    if cadence.unit == "minutes":
-        return F.window(local, f"{cadence.every} minutes")["start"]
-    if cadence.unit == "day":
-        return F.window(local, "1 day", startTime=f"{cadence.hour} hours")["start"]
-    if cadence.unit == "week":
-        offset = DAYS_FROM_EPOCH[cadence.day] * 24 + cadence.hour
-        return F.window(local, "7 days", startTime=f"{offset} hours")["start"]
+    if cadence.unit in WIDTHS:
+        day = DAYS_FROM_EPOCH[cadence.day] * 24 if cadence.unit == "week" else 0
+        return _even(local, cadence.every * WIDTHS[cadence.unit], (day + cadence.hour) * 3600)
     if cadence.unit in ("month", "year"):
         return F.trunc(F.to_date(local - shift), cadence.unit).cast("timestamp_ntz") + shift
     if cadence.unit == "weekdays":

@@ -10,6 +10,21 @@ SIZE_UNITS = ("kB", "MB", "GB", "TB")
 BYTES_LIMIT = 10 * 1024
 UNIT_LIMIT = 20 * 1024 - 1
 
+# The code points that stripping a text takes away, as ranges.
+WHITE = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A))
+WHITE += ((0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+WHITE_CLASS = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in WHITE)
+
+
+def is_blank(line: Column) -> Column:
+    """Whether a text has nothing but white space."""
+    return ~line.rlike(f"[^{WHITE_CLASS}]")
+
+
+def stripped(text: Column) -> Column:
+    """A text without the white space at both ends."""
+    return F.regexp_replace(text, f"\\A[{WHITE_CLASS}]+|[{WHITE_CLASS}]+\\z", "")
+
 
 def pretty_size(size: Column) -> Column:
     """Bytes as text the way PostgreSQL prints them (sizes are never negative).
@@ -55,9 +70,14 @@ def run_key(job_name: Column, started: Column) -> Column:
 
 
 def first_value_after(line: Column, word: str) -> Column:
-    """Trimmed text between the first and the second occurrence of ``word``; null when it is absent."""
+    """Stripped text between the first and the second occurrence of ``word``; null when it is absent."""
     start = F.locate(word, line)
     rest = F.substr(line, start + F.lit(len(word)))
     stop = F.locate(word, rest)
     found = F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(rest)
-    return F.when(start > 0, F.trim(found))
+    return F.when(start > 0, stripped(found))
+
+
+def json_at(column: Column, path: str, default: str = "") -> Column:
+    """The text at a dotted path in a JSON text; ``default`` where any part of the path is missing or null."""
+    return F.coalesce(F.get_json_object(column, f"$.{path}"), F.lit(default))

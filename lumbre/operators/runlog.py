@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumbre.functions.text import first_value_after
+from lumbre.functions.text import first_value_after, is_blank
 from lumbre.operators.ordered import percentiles
 from lumbre.storage import cut_lineage
 
@@ -54,7 +54,7 @@ def relevant_lines(
         dated = F.lit(False)
         for prefix in prefixes:
             dated = dated | line.startswith(prefix)
-    return lines.filter((F.trim(line) != "") & ~dated & _any_of(line, markers))
+    return lines.filter(~is_blank(line) & ~dated & _any_of(line, markers))
 
 
 def key_lines(lines: DataFrame, phrases: Sequence[str] = KEY_PHRASES) -> DataFrame:
@@ -95,7 +95,7 @@ def tail(
         lines.withColumn("_from_end", F.row_number().over(last))
         .filter(F.col("_from_end") <= min(sizes))
         .drop("_from_end")
-        .filter(F.trim("line") != "")
+        .filter(~is_blank(F.col("line")))
     )
 
 
@@ -105,60 +105,63 @@ def run_outcomes(
     max_unknown: int = MAX_UNKNOWN,
     max_wait: int = MAX_WAIT_SECONDS,
     now: Column | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """What became of each run, from its polled states ``run..., ts, state``.
 
+    Polls at the same instant count in the order of the column ``order``.
+
     A run is watched from its first poll.  COMPLETED is success; a failed state, or more than ``max_unknown``
     UNKNOWN polls in total, is failure; whatever comes first counts.  ``max_wait`` seconds after the start the watch
     ends as a timeout, as soon as a later poll or ``now`` shows that time has passed.  Otherwise the run is pending
-    (no state yet), running or, in any other state, waiting.  Of polls at the same instant success comes before
-    failure.
+    (no state yet), running or, in any other state, waiting.
 
     Everything is an aggregate over instants: each task reduces its polls of a run to one row of numbers before the
     shuffle, and only the first ``max_unknown + 1`` UNKNOWN polls per task are looked at in order.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = polls.select(*run, micros.alias("at"), F.coalesce("state", F.lit(PENDING)).alias("state"))
+    turn = F.struct(micros.alias("at"), (F.col(order) if order else F.lit(0)).cast("long").alias("seq"))
+    timed = polls.select(*run, turn.alias("turn"), F.coalesce("state", F.lit(PENDING)).alias("state"))
 
     def first_in(state: str) -> Column:
-        return F.min(F.when(F.col("state") == state, F.col("at"))).alias(f"first_{state}")
+        return F.min(F.when(F.col("state") == state, F.col("turn"))).alias(f"first_{state}")
 
     seen = timed.groupBy(*run).agg(
         F.count(F.lit(1)).alias("polls"),
         F.count(F.when(F.col("state") == UNKNOWN, 1)).alias("unknown_polls"),
-        F.min("at").alias("started"),
-        F.max("at").alias("last"),
-        F.max(F.when(F.col("state") == PENDING, F.col("at"))).alias("last_pending"),
-        F.max(F.when(F.col("state").isin(*RUNNING_STATES), F.col("at"))).alias("last_running"),
+        F.min("turn.at").alias("started"),
+        F.max(F.struct("turn", "state")).alias("latest"),
         *(first_in(state) for state in (COMPLETED, *FAILED_STATES)),
-    )
-    in_turn = W.partitionBy(*run).orderBy("at")
+    ).withColumn("last", F.col("latest.turn.at"))
+    in_turn = W.partitionBy(*run).orderBy("turn")
     too_many = (
         timed.filter(F.col("state") == UNKNOWN)
-        .select(*run, "at", F.row_number().over(in_turn).alias("turn"))
-        .filter(F.col("turn") == max_unknown + 1)
-        .select(*run, F.col("at").alias("too_many_unknown"))
+        .select(*run, "turn", F.row_number().over(in_turn).alias("number"))
+        .filter(F.col("number") == max_unknown + 1)
+        .select(*run, F.col("turn").alias("too_many_unknown"))
     )
     deadline = F.col("started") + max_wait * 1_000_000
     passed = F.col("last") >= deadline
     if now is not None:
         passed = passed | (F.unix_micros(now.cast("timestamp")) >= deadline)
 
-    def candidate(at: Column, rank: int, status: str, state: str | None) -> Column:
-        return F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(status).alias("status"), F.lit(state).alias("state"))
+    def candidate(at: Column, seq: Column, rank: int, status: str, state: str | None) -> Column:
+        names = {"at": at, "seq": seq, "rank": F.lit(rank), "status": F.lit(status), "state": F.lit(state)}
+        return F.struct(*(value.alias(name) for name, value in names.items()))
 
     def ending(column: str, rank: int, status: str, state: str) -> Column:
-        return F.when(F.col(column) < deadline, candidate(F.col(column), rank, status, state))
+        at, seq = F.col(column)["at"], F.col(column)["seq"]
+        return F.when(at < deadline, candidate(at, seq, rank, status, state))
 
     decided = F.least(
         ending(f"first_{COMPLETED}", 0, "success", COMPLETED),
         *(ending(f"first_{s}", i, "failed", s) for i, s in enumerate(FAILED_STATES, start=1)),
         ending("too_many_unknown", 8, "failed", UNKNOWN),
-        F.when(passed, candidate(deadline, 9, "timeout", None)),
+        F.when(passed, candidate(deadline, F.lit(0).cast("long"), 9, "timeout", None)),
     )
     open_status = (
-        F.when(F.col("last_running") == F.col("last"), "running")
-        .when(F.col("last_pending") == F.col("last"), "pending")
+        F.when(F.col("latest.state").isin(*RUNNING_STATES), "running")
+        .when(F.col("latest.state") == PENDING, "pending")
         .otherwise("waiting")
     )
     ended = F.coalesce(F.col("decided.at"), F.col("last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.functions.text import run_key
+from lumbre.functions.text import WHITE, run_key
 from lumbre.operators import runlog
 from lumbre.operators.ordered import in_segments, running_totals
 from lumbre.plans.programs import document_lines, table
@@ -17,6 +17,8 @@ MAX_UNKNOWN = 2
 MAX_WAIT_SECONDS = 3 * 24 * 3600
 
 STATES = {"signup": "SUBMITTED", "view": "RUNNING", "click": "UNKNOWN", "purchase": "COMPLETED", "error": "FAILED"}
+# Lines without content, of every kind of white space.
+BLANKS = ("   ", "\t", "\r", "\xa0")
 TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -48,7 +50,7 @@ def event_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["user_id"],
     )
     return numbered.filter("run_no > 0").select(
-        F.col("user_id").cast("string").alias("app_name"), "run_no", "started_at", "ts", "state"
+        F.col("user_id").cast("string").alias("app_name"), "run_no", "started_at", "ts", "state", "event_id"
     )
 
 
@@ -60,8 +62,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (
         F.when(kind == "signup", F.concat(when, F.lit(" INFO SparkContext: Running job "), F.col("user_id")))
         .when(kind == "view", F.concat(F.lit("📊 Progreso: "), cents))
-        .when(kind == "click", F.lit("   "))
-        .when(kind == "purchase", F.concat(F.lit("Pi is roughly 3."), cents))
+        .when(kind == "click", F.element_at(F.array(*map(F.lit, BLANKS)), (F.col("event_id") % 4 + 1).cast("int")))
+        .when(kind == "purchase", F.concat(F.lit("Pi is roughly 3."), cents, F.when(F.col("event_id") % 2 == 0, "\r").otherwise("")))
         .otherwise(F.concat(when, F.lit(" ERROR Executor: 📋 code "), cents))
     )
     return table(spark, sf_dir, "events").select(
@@ -94,7 +96,7 @@ def log_tail_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     polls = event_polls(spark, sf_dir)
-    return runlog.run_outcomes(polls, max_unknown=MAX_UNKNOWN, max_wait=MAX_WAIT_SECONDS)
+    return runlog.run_outcomes(polls, max_unknown=MAX_UNKNOWN, max_wait=MAX_WAIT_SECONDS, order="event_id")
 
 
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,14 +166,15 @@ QUERIES = {
 # ---- the same in SQL ----------------------------------------------------------------------------------------
 
 _DATE = "strftime(ts, '%y/%m/%d %H:%M:%S')"
+WHITE_TEXT = "'" + "".join(chr(c) for a, b in WHITE for c in range(a, b + 1)) + "'"
 _CENTS = "CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR)"
 LINES = f"""
 lines AS (
   SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS line_no,
          CASE event_type WHEN 'signup' THEN {_DATE} || ' INFO SparkContext: Running job ' || user_id
                          WHEN 'view' THEN '📊 Progreso: ' || {_CENTS}
-                         WHEN 'click' THEN '   '
-                         WHEN 'purchase' THEN 'Pi is roughly 3.' || {_CENTS}
+                         WHEN 'click' THEN [{', '.join(f"'{b}'" for b in BLANKS)}][event_id % 4 + 1]
+                         WHEN 'purchase' THEN 'Pi is roughly 3.' || {_CENTS} || CASE WHEN event_id % 2 = 0 THEN chr(13) ELSE '' END
                          ELSE {_DATE} || ' ERROR Executor: 📋 code ' || {_CENTS} END AS line
   FROM events
 )"""
@@ -184,7 +187,7 @@ def _contains(phrases) -> str:
 def _tail_sql(lines: str, run: str, size: int) -> str:
     return f"""WITH {lines}, numbered AS (
           SELECT *, row_number() OVER (PARTITION BY {run} ORDER BY line_no DESC) AS from_end FROM lines)
-        SELECT {run}, line_no, line FROM numbered WHERE from_end <= {size} AND trim(line) <> ''"""
+        SELECT {run}, line_no, line FROM numbered WHERE from_end <= {size} AND trim(line, {WHITE_TEXT}) <> ''"""
 
 
 DOCUMENT_LINES = """
@@ -223,8 +226,8 @@ ends AS (
   SELECT app_name, run_no, min(started) AS started, max(us) AS last, count(*) AS polls,
          count(*) FILTER (WHERE state = 'UNKNOWN') AS unknown_polls,
          max(state) FILTER (WHERE from_end = 1) AS last_state,
-         arg_min(verdict, us) FILTER (WHERE verdict IS NOT NULL) AS verdict,
-         arg_min(state, us) FILTER (WHERE verdict IS NOT NULL) AS verdict_state,
+         arg_min(verdict, (us, event_id)) FILTER (WHERE verdict IS NOT NULL) AS verdict,
+         arg_min(state, (us, event_id)) FILTER (WHERE verdict IS NOT NULL) AS verdict_state,
          min(us) FILTER (WHERE verdict IS NOT NULL) AS verdict_at
   FROM judged GROUP BY app_name, run_no
 ),
@@ -253,13 +256,13 @@ _SPAN = f"""{sql_time("started")} AS start_time, {sql_time("ended")} AS end_time
 OUTCOME_COLUMNS = f"app_name, run_no, status, state, {_SPAN}, polls, unknown_polls"
 
 SQL = {
-    "log_relevant": f"""WITH {LINES} SELECT * FROM lines WHERE trim(line) <> ''
+    "log_relevant": f"""WITH {LINES} SELECT * FROM lines WHERE trim(line, {WHITE_TEXT}) <> ''
         AND NOT regexp_matches(line, '^[0-9][0-9]/[0-9][0-9]/[0-9][0-9] ') AND {_contains(runlog.RELEVANT_MARKERS)}""",
     "log_key_lines": f"WITH {LINES} SELECT * FROM lines WHERE {_contains(runlog.KEY_PHRASES)}",
     "log_extract": f"""WITH {LINES}, hits AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS turn
           FROM lines WHERE contains(line, 'Pi is roughly'))
-        SELECT run_id, hits.line_no, trim(string_split(line, 'roughly')[2]) AS result_text,
-               TRY_CAST(trim(string_split(line, 'roughly')[2]) AS DOUBLE) AS result
+        SELECT run_id, hits.line_no, trim(string_split(line, 'roughly')[2], {WHITE_TEXT}) AS result_text,
+               TRY_CAST(trim(string_split(line, 'roughly')[2], {WHITE_TEXT}) AS DOUBLE) AS result
         FROM (SELECT DISTINCT run_id FROM lines) LEFT JOIN (SELECT * FROM hits WHERE turn = 1) hits USING (run_id)""",
     "log_tail": _tail_sql(DOCUMENT_LINES, "doc_id", 20),
     "log_tail_failed": _tail_sql(LINES, "run_id", 30),

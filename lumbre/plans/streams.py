@@ -12,7 +12,6 @@ from lumbre.storage import new_folder
 from lumbre.streaming.outcomes import stream_outcomes
 from lumbre.streaming.tables import (
     append_available,
-    partitions_for,
     read_appended,
     read_latest,
     stream_session,
@@ -25,8 +24,8 @@ LATE_BY_MICROS = 3600 * 1_000_000
 
 
 def replayed(spark: SparkSession, path: str) -> DataFrame:
-    """A table as a stream of its own session, with state partitions to suit its size."""
-    return stream_table(stream_session(spark, partitions_for(spark.read.parquet(path))), path)
+    """A table as a stream of its own session."""
+    return stream_table(stream_session(spark), path)
 
 
 def word_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def run_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     polls = replayed(spark, f"{path}/polls")
     buckets = 4 * shuffle_partitions(polls)
     append_available(
-        stream_outcomes(polls, LATE_BY, runlog.MAX_UNKNOWN, runlog.MAX_WAIT_SECONDS, buckets), path
+        stream_outcomes(polls, LATE_BY, runlog.MAX_UNKNOWN, runlog.MAX_WAIT_SECONDS, buckets, "event_id"), path
     )
     return read_appended(spark, path).select(
         "app_name", "run_no", "status", "state", runlog.time_text("start_time"), runlog.time_text("end_time")

@@ -17,9 +17,13 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edges_from_lines(lines: DataFrame) -> DataFrame:
-    """Distinct ``(src, dst)`` from the first two whitespace-separated fields of every line."""
+    """Distinct ``(src, dst)`` from the first two whitespace-separated fields of every line.
+
+    Lines without a second field hold no link and are left out.
+    """
     fields = F.split("line", r"\s+", 3)
-    return lines.select(fields[0].alias("src"), fields[1].alias("dst")).distinct()
+    links = lines.select(F.get(fields, F.lit(0)).alias("src"), F.get(fields, F.lit(1)).alias("dst"))
+    return links.filter("dst <> ''").distinct()
 
 
 def read_libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from lumbre.operators.runlog import COMPLETED, FAILED_STATES, MAX_UNKNOWN, MAX_W
 # Open runs are spread over this many buckets; a stream keeps the number it was started with.
 BUCKETS = 256
 
-# Which state ends a run, in the order that counts at the same instant.
+# Which state ends a run, in the order that counts for polls that nothing else tells apart.
 ENDINGS = {COMPLETED: "success", **dict.fromkeys(FAILED_STATES, "failed")}
 RANK = {**{name: i for i, name in enumerate(ENDINGS)}, UNKNOWN: 8}
 TIMEOUT_RANK = 9
@@ -28,9 +28,9 @@ TIMEOUT_RANK = 9
 GIVEN_OUT = "given out"
 
 RUN = ["app_name", "run_no", "started"]
-KEPT = [*RUN, "at", "state"]
-POLLS = "bucket int, app_name string, run_no long, started long, at long, state string, ts timestamp"
-STATE = "app_name array<string>, run_no array<long>, started array<long>, at array<long>, state array<string>"
+KEPT = [*RUN, "at", "seq", "state"]
+POLLS = "bucket int, app_name string, run_no long, started long, at long, seq long, state string, ts timestamp"
+STATE = "app_name array<string>, run_no array<long>, started array<long>, at array<long>, seq array<long>, state array<string>"
 OUTCOME = "app_name string, run_no long, status string, state string, started long, ended long"
 
 
@@ -39,7 +39,7 @@ def first_polls(polls: pd.DataFrame, max_unknown: int) -> pd.DataFrame:
 
     Per run: its first poll, the first one in each ending state, and as many UNKNOWN ones as it takes to fail.
     """
-    polls = polls.sort_values("at", kind="stable")
+    polls = polls.sort_values(["at", "seq"], kind="stable")
     turn = polls.groupby([*RUN, "state"], sort=False).cumcount()
     deciding = polls["state"].isin([*RANK, GIVEN_OUT])
     wanted = deciding & (turn <= (polls["state"] == UNKNOWN) * max_unknown)
@@ -65,9 +65,9 @@ def _outcomes(held: pd.DataFrame, max_unknown: int, wait: int) -> pd.DataFrame:
     found = held[ends & (held["at"] < deadline)]
     found = found.assign(rank=found["state"].map(RANK).astype("int64"))
     runs = held.drop_duplicates(RUN)
-    late = runs.assign(at=runs["started"] + wait, state=None, rank=TIMEOUT_RANK)
+    late = runs.assign(at=runs["started"] + wait, seq=0, state=None, rank=TIMEOUT_RANK)
     first = pd.concat([found, late]) if len(found) else late
-    first = first.sort_values(["at", "rank"]).drop_duplicates(RUN)
+    first = first.sort_values(["at", "seq", "rank"]).drop_duplicates(RUN)
     return first.rename(columns={"at": "ended"}).assign(deadline=first["started"] + wait)
 
 
@@ -130,10 +130,12 @@ def stream_outcomes(
     max_unknown: int = MAX_UNKNOWN,
     max_wait: int = MAX_WAIT_SECONDS,
     buckets: int = BUCKETS,
+    order: str | None = None,
 ) -> DataFrame:
     """``app_name, run_no, status, state, start_time, end_time`` of finished runs.
 
-    ``polls``: ``app_name, run_no, started_at, ts, state`` as a stream, every poll carrying the start of its run.
+    ``polls``: ``app_name, run_no, started_at, ts, state`` as a stream, every poll carrying the start of its run;
+    polls at the same instant count in the order of the column ``order``.
     Polls may be late by ``delay``; an outcome is given out once, when event time has passed it by that much.
     """
     prepared = polls.select(
@@ -142,6 +144,7 @@ def stream_outcomes(
         "run_no",
         F.unix_micros(F.col("started_at").cast("timestamp")).alias("started"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        (F.col(order) if order else F.lit(0)).cast("long").alias("seq"),
         F.coalesce("state", F.lit("")).alias("state"),
         F.col("ts").cast("timestamp").alias("ts"),
     )

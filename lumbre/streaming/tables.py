@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of its own for a stream: state lives in RocksDB (on disk) unless the caller chose a store.
 
-    ``partitions`` is the number of state partitions; a stream keeps the number it was started with.
+    ``partitions`` is the number of state partitions, the session's shuffle partitions if it is not given; a stream keeps
+    the number it was started with, so choose it for what the stream will hold, not for what there is at its start.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
@@ -23,20 +25,16 @@ def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkS
     return own
 
 
-def partitions_for(table: DataFrame) -> int:
-    """State partitions for a stream over what ``table`` holds: one per input split, within the session's setting."""
-    spark = table.sparkSession
-    splits = max(table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    return min(splits, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def stream_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A Parquet table, one file or a folder of files, as a stream of its files.
-
-    The path is given as a pattern that matches only itself: a plain path would have to be a folder.
-    """
+    """A Parquet table, one file or a folder of files, as a stream of its files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema).options(**options)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.parquet(path)
+    # A stream reads folders, so a single file is picked from the one it lies in; signs of patterns stand for themselves.
+    name = re.sub(r"([*?\[\]{}\\])", r"\\\1", place.getName())
+    return reader.option("pathGlobFilter", name).parquet(place.getParent().toString())
 
 
 def append_available(stream: DataFrame, path: str) -> None:

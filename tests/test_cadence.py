@@ -76,3 +76,23 @@ def test_every_event_is_in_one_bucket(spark, sf_dir, schedule):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     totals = totals_per_bucket(events, F.col("ts"), SCHEDULES[schedule], F.col("value"))
     assert totals.agg(F.sum("n")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("name", sorted(SCHEDULES))
+def test_no_row_is_lost(spark, name):
+    """The buckets of every schedule add up to all rows, also to those without a time."""
+    rows = [(i, MOMENTS[i % len(MOMENTS)]) for i in range(20)] + [(20, None), (21, None)]
+    df = spark.createDataFrame(rows, "i int, ts timestamp_ntz")
+    found = {r.bucket_start: r.n for r in totals_per_bucket(df, F.col("ts"), SCHEDULES[name], F.col("i")).collect()}
+    assert sum(found.values()) == 22 and found[None] == 2
+
+
+def test_times_with_zone_are_not_moved_by_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = spark.sql("SELECT timestamp_micros(1704078000000000) AS zoned, TIMESTAMP_NTZ'2024-01-01 03:00:00' AS plain")
+        starts = row.select(*(bucket_start(F.col(c), SCHEDULES["weekly"]).cast("string") for c in ("zoned", "plain"))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(starts) == ("2024-01-01 03:00:00",) * 2

@@ -7,7 +7,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumbre.functions.text import first_value_after, joined_or, pretty_size, run_key, space_tokens
+from lumbre.functions.text import (
+    first_value_after,
+    is_blank,
+    joined_or,
+    json_at,
+    pretty_size,
+    run_key,
+    space_tokens,
+    stripped,
+)
 
 
 def values(spark, kind, items, expression):
@@ -64,9 +73,26 @@ def test_first_value_after(spark):
     assert values(spark, "string", lines, lambda v: first_value_after(v, "roughly")) == ["3.14", "a", None, ""]
 
 
-@pytest.mark.parametrize("name", ["SparkPi-Example", "My Daily_Job"])
-def test_run_key(spark, name):
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [("SparkPi-Example", "sparkpi-example-1704067205"), ("My Daily_Job", "my-daily-job-1704067205")],
+)
+def test_run_key(spark, name, expected):
     start = dt.datetime(2024, 1, 1, 0, 0, 5, 999999)
-    expected = name.lower().replace(" ", "-").replace("_", "-") + "-1704067205"
     rows = spark.createDataFrame([(name, start)], "name string, start timestamp_ntz")
     assert rows.select(run_key(F.col("name"), F.col("start"))).first()[0] == expected
+
+
+WHITE_TEXTS = ["", "   ", "\t", "\r", "\xa0", "\u3000\x1f", " a ", "\ta b\r\n", "\xa0x\u2028", "\u200bx", None]
+
+
+def test_white_space_is_that_of_strip(spark):
+    assert values(spark, "string", WHITE_TEXTS, is_blank) == [None if t is None else not t.strip() for t in WHITE_TEXTS]
+    assert values(spark, "string", WHITE_TEXTS, stripped) == [None if t is None else t.strip() for t in WHITE_TEXTS]
+    assert values(spark, "string", ["Pi is roughly 3.14\r"], lambda c: first_value_after(c, "roughly")) == ["3.14"]
+
+
+def test_json_at(spark):
+    texts = ['{"status": {"applicationState": {"state": "RUNNING"}}}', '{"status": {}}', '{"status": null}', "no json", None]
+    path = "status.applicationState.state"
+    assert values(spark, "string", texts, lambda c: json_at(c, path, "UNKNOWN")) == ["RUNNING", *["UNKNOWN"] * 4]
