@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from lumbre.operators.ordered import shuffle_partitions
 from lumbre.storage import bucketed, cut_lineage
 
-# A source with more links than this is split over several tasks …
+# The links of a source are dealt out over parts of about this many.
 LINKS_PER_TASK = 1_000_000
-# … and the list of such sources, which is broadcast, is never longer than this.
-MAX_SPLIT_SOURCES = 2_000
-# Links are written in buckets where there are more than this for each; fewer are cheaper to move than to place.
-LINKS_PER_BUCKET = 100_000
-# A task holds the shares of about this many nodes in memory while it reads its links.
-NODES_PER_TASK = 1_000_000
+# Links are written in buckets of about this many, or in as many as the session shuffles into if that is more.
+LINKS_PER_BUCKET = 1_000_000
 
 
 def page_rank(
@@ -32,45 +28,29 @@ def page_rank(
     ``rank = (1 - damping) + damping * received``.  Nodes that receive nothing drop out, nodes without links pass
     nothing on, and ranks are not normalised.
 
-    Many links are written once in buckets of the key they are joined on, so a round shuffles partially summed shares
-    but never the links.  A source with very many links is spread over several tasks; its share is repeated once per
-    part.
+    Links are written once, in buckets of their source and part; a source has as many parts as its number of links
+    asks for, so one with very many lies in many buckets.  A round shuffles one share per source and part, and partially summed
+    shares, never the links.  The plan is the same for every size; only the number of buckets and parts follows it.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
-    parts = shuffle_partitions(links)
-    spread = links.count() > parts * links_per_bucket
-    degrees = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    degrees = bucketed(degrees, parts, "node") if spread else cut_lineage(degrees)
-    links_of = F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.max("links"), F.lit(0)).alias("most")
-    size = degrees.agg(F.count(F.lit(1)).alias("nodes"), *links_of).first()
-    if size.nodes > parts * NODES_PER_TASK:
-        parts = -(-size.nodes // NODES_PER_TASK)
-        degrees = bucketed(degrees, parts, "node")
-    # Sources with more than ``limit`` links each: there are fewer than MAX_SPLIT_SOURCES of them.
-    limit = max(links_per_task, -(-size.links // MAX_SPLIT_SOURCES))
-    nodes = degrees.withColumn("splits", F.ceil(F.col("links") / limit).cast("int"))
-    skewed = size.most > limit
-    by = ["src", "part"] if skewed else ["src"]
-    if skewed:
-        split = nodes.filter("splits > 1").select(F.col("node").alias("src"), "splits")
-        links = links.join(F.broadcast(split), "src", "left").select(
-            "src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), "splits"), F.lit(0)).cast("int").alias("part")
-        )
-    if spread:
-        links = bucketed(links, parts, *by)
-    elif skewed:
-        links = cut_lineage(links)
+    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
+    parts = F.ceil(F.col("links") / links_per_task).cast("int")
+    nodes = cut_lineage(degrees.select(F.col("src").alias("node"), "links", parts.alias("parts")))
+    total = nodes.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(links), -(-total // links_per_bucket))
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
+    placed = links.join(nodes.withColumnRenamed("node", "src"), "src").select("src", "dst", part)
+    placed = bucketed(placed, buckets, "src", "part")
 
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
         shares = ranks.join(nodes, "node").select(
-            F.col("node").alias("src"), (F.col("rank") / F.col("links")).alias("share"), "splits"
+            F.col("node").alias("src"),
+            (F.col("rank") / F.col("links")).alias("share"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         )
-        if skewed:
-            shares = shares.select("src", "share", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"))
-        shares = shares.drop("splits")
         ranks = (
-            links.join(shares.hint("shuffle_hash") if spread else shares, by)
+            placed.join(shares, ["src", "part"])
             .groupBy(F.col("dst").alias("node"))
             .agg((F.lit(1 - damping) + damping * F.sum("share")).alias("rank"))
         )

@@ -10,23 +10,22 @@ from pyspark.sql import functions as F
 from lumbre.operators.ordered import in_segments, running_totals
 
 DEFAULT_ROWS = 1_000
-# As many rows as one task may be given.
-ROWS_IN_ONE_TASK = 100_000
 
 
-def first_rows(
-    df: DataFrame, key: Sequence[str], num_rows: int = DEFAULT_ROWS, in_one_task: int = ROWS_IN_ONE_TASK
-) -> DataFrame:
+def first_rows(df: DataFrame, key: Sequence[str], num_rows: int = DEFAULT_ROWS) -> DataFrame:
     """The first ``num_rows`` rows by ``key``, which tells all rows apart.
 
-    Every task keeps its own first rows and only those meet in one task.  Where that would be too many, rows are
-    numbered in segments instead.
+    The keys alone are numbered in segments, which finds the last key that is still in; the rows up to it are then a
+    filter, which reaches the scan for a single key.  No task sees more than its share, however many rows are wanted.
     """
-    if num_rows <= in_one_task:
-        return df.orderBy(*key).limit(num_rows)
     order = [F.asc(k) for k in key]
-    numbered = running_totals(in_segments(df, order), order, {"_row": ("sum", F.lit(1))})
-    return numbered.filter(F.col("_row") <= num_rows).drop("_row")
+    numbered = running_totals(in_segments(df.select(*key), order), order, {"_row": ("sum", F.lit(1))})
+    last = numbered.filter(F.col("_row") == num_rows).select(*key).first()
+    if last is None:  # there are not even so many
+        return df
+    if len(key) == 1:
+        return df.filter(F.col(key[0]).isNull() | (F.col(key[0]) <= F.lit(last[0])))
+    return df.filter(F.struct(*key) <= F.struct(*(F.lit(last[k]).alias(k) for k in key)))
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbre.functions.text import json_at
 from lumbre.operators import curves, logistic, montecarlo, ranking, samples, words
+from lumbre.sources import files
 from lumbre.storage import cut_lineage, new_folder
 
 ITERATIONS = 5
@@ -97,8 +99,8 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ("log_chars", "word_count", "distinct_ratio")
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, label, features``; texts are reduced to numbers before anything is shuffled."""
+def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, label`` and the features; texts are reduced to numbers before anything is shuffled."""
     word_list = F.split("text", r"\s+")
     documents = (
         table(spark, sf_dir, "documents")
@@ -111,18 +113,55 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    return logistic.with_features(labels.join(documents, "doc_id"), FEATURES).select("doc_id", "label", "features")
+    return labels.join(documents, "doc_id")
 
 
-def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, label, features``."""
+    return logistic.with_features(feature_columns(spark, sf_dir), FEATURES).select("doc_id", "label", "features")
+
+
+def line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every line of the documents, taken as a link."""
+    return files.edges_from_lines(document_lines(spark, sf_dir).select("line"))
+
+
+def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_links(spark, sf_dir)
+
+
+def pagerank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank over links that come as lines of text."""
+    return ranking.page_rank(line_links(spark, sf_dir), 2).select("node", F.round("rank", 10).alias("rank"))
+
+
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by a value that lies inside a JSON text, and by one that is never there."""
+    events = table(spark, sf_dir, "events")
+    inner = json_at(F.col("props"), "k", "none").alias("k")
+    state = json_at(F.col("props"), "status.applicationState.state", "UNKNOWN").alias("state")
+    return events.groupBy(inner, state).agg(F.count(F.lit(1)).alias("n"))
+
+
+def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the regression is fitted to, one column per feature."""
+    values = feature_columns(spark, sf_dir)
+    return values.select("doc_id", "label", *(F.round(f, 9).alias(f) for f in FEATURES))
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = cut_lineage(labelled_documents(spark, sf_dir))  # every iteration reads it
-    scored = logistic.score(logistic.fit(labelled), labelled)
+    return logistic.score(logistic.fit(labelled), labelled)
+
+
+def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scored_documents(spark, sf_dir)
     return scored.select("doc_id", "label", F.round("score", 6).alias("score"), "prediction")
 
 
 def logreg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the ROC curve and best threshold of the fitted model on its training rows."""
-    return curves.summary(logreg_scores(spark, sf_dir))
+    return curves.summary(scored_documents(spark, sf_dir))
 
 
 QUERIES = {
@@ -131,6 +170,10 @@ QUERIES = {
     "pagerank": pagerank,
     "row_limited_summary": row_limited_summary,
     "etl_roundtrip": etl_roundtrip,
+    "edge_list": edge_list,
+    "pagerank_lines": pagerank_lines,
+    "event_props": event_props,
+    "labelled_features": labelled_features,
     "logreg_scores": logreg_scores,
     "logreg_summary": logreg_summary,
     "binary_auc": binary_auc,
@@ -158,10 +201,19 @@ tokens AS (
 WORD_COUNT = f"WITH {WORDS} SELECT word, count(*) AS n FROM tokens GROUP BY word"
 
 
-def _pagerank_sql(rounds: int) -> str:
+BOUGHT = (
+    "pairs AS (SELECT DISTINCT 'C' || o_custkey AS c, 'P' || l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
+    "links AS (SELECT c AS src, p AS dst FROM pairs UNION SELECT p, c FROM pairs)",
+)
+LINE_LINKS = (
+    "fields AS (SELECT string_split_regex(unnest(string_split(text, chr(10))), '[ \\t\\n\\x0B\\f\\r]+') AS f FROM documents)",
+    "links AS (SELECT DISTINCT f[1] AS src, f[2] AS dst FROM fields WHERE f[2] <> '')",
+)
+
+
+def _pagerank_sql(rounds: int, links: tuple[str, ...] = BOUGHT, places: int = 6) -> str:
     steps = [
-        "pairs AS (SELECT DISTINCT 'C' || o_custkey AS c, 'P' || l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
-        "links AS (SELECT c AS src, p AS dst FROM pairs UNION SELECT p, c FROM pairs)",
+        *links,
         "nodes AS (SELECT src, count(*) AS n FROM links GROUP BY src)",
         "r0 AS (SELECT src AS node, CAST(1 AS DOUBLE) AS rank FROM nodes)",
     ]
@@ -170,7 +222,7 @@ def _pagerank_sql(rounds: int) -> str:
             f"r{i} AS (SELECT dst AS node, CAST(0.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * sum(rank / n) AS rank "
             f"FROM links JOIN nodes USING (src) JOIN r{i - 1} ON node = src GROUP BY dst)"
         )
-    return "WITH " + ",\n".join(steps) + f" SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+    return "WITH " + ",\n".join(steps) + f" SELECT node, round(rank, {places}) AS rank FROM r{rounds}"
 
 
 CURVE = """
@@ -191,6 +243,15 @@ SQL = {
                CAST(4 AS DOUBLE) * count(*) FILTER (WHERE x * x + y * y <= 1) / count(*) AS pi FROM points""",
     "word_count": WORD_COUNT,
     "pagerank": _pagerank_sql(ITERATIONS),
+    "edge_list": "WITH " + ", ".join(LINE_LINKS) + " SELECT src, dst FROM links",
+    "pagerank_lines": _pagerank_sql(2, LINE_LINKS, 10),
+    "event_props": """SELECT coalesce(json_extract_string(props, '$.k'), 'none') AS k,
+        coalesce(json_extract_string(props, '$.status.applicationState.state'), 'UNKNOWN') AS state, count(*) AS n
+        FROM events GROUP BY 1, 2""",
+    "labelled_features": """WITH words AS (SELECT doc_id, n_chars, string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents)
+        SELECT doc_id, CAST(quality AS DOUBLE) AS label, round(ln(1 + n_chars), 9) AS log_chars,
+               CAST(len(w) AS DOUBLE) AS word_count, round(CAST(len(list_distinct(w)) AS DOUBLE) / len(w), 9) AS distinct_ratio
+        FROM labels JOIN words USING (doc_id)""",
     "row_limited_summary": f"""SELECT o_orderstatus, CASE WHEN o_totalprice < 250000 THEN 'small' ELSE 'large' END AS size, {_TOTALS}
         FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {samples.DEFAULT_ROWS}) WHERE o_totalprice > 0 GROUP BY 1, 2""",
     "etl_roundtrip": f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, o_orderstatus, {_TOTALS}

@@ -28,17 +28,6 @@ def _opened(spark: SparkSession, sf_dir: str) -> tuple[ParquetFolder, list[str]]
     return source, names
 
 
-def _counted(source: ParquetFolder, names: list[str], listing: DataFrame) -> DataFrame:
-    """Catalog rows next to the number of rows their table holds."""
-    return listing.join(profile.row_counts(source, names), "tabla", "left")
-
-
-def table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, names = _opened(spark, sf_dir)
-    catalog = source.catalog(names)
-    return _counted(source, names, lookups.base_tables(catalog.tables)).orderBy("tabla")
-
-
 def table_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, names = _opened(spark, sf_dir)
     return profile.row_counts(source, names)
@@ -61,26 +50,7 @@ def size_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, names = _opened(spark, sf_dir)
     listing = lookups.table_columns(source.catalog(names).columns)
-    return _counted(source, names, listing.select("tabla", "ordinal_position", "column_name"))
-
-
-def pk_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, names = _opened(spark, sf_dir)
-    cat = source.catalog(names)
-    return _counted(source, names, lookups.primary_keys(cat.pg_index, cat.pg_attribute, cat.pg_class))
-
-
-def fk_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, names = _opened(spark, sf_dir)
-    cat = source.catalog(names)
-    return _counted(
-        source, names, lookups.foreign_keys(cat.table_constraints, cat.key_column_usage, cat.constraint_column_usage)
-    )
-
-
-def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, names = _opened(spark, sf_dir)
-    return _counted(source, names, lookups.indexes(source.catalog(names).pg_indexes))
+    return listing.select("tabla", "ordinal_position", "column_name")
 
 
 def pk_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,14 +103,10 @@ def stats_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "table_list": table_list,
     "table_row_counts": table_row_counts,
     "table_sizes": table_sizes,
     "size_pretty": size_pretty,
     "table_columns": table_columns,
-    "pk_declared": pk_declared,
-    "fk_declared": fk_declared,
-    "index_list": index_list,
     "pk_verify": pk_verify,
     "fk_verify": fk_verify,
     "table_stats": table_stats,
@@ -234,22 +200,12 @@ _DETAIL = """concat_ws(chr(10), '📊 Tabla: ' || tabla, '   • Registros: ' ||
        '   • Índices (' || cantidad_indices || '): ' || indices)"""
 
 SQL = {
-    "table_list": f"WITH {COUNTS} SELECT * FROM counts",
     "table_row_counts": f"WITH {COUNTS} SELECT * FROM counts",
     "size_pretty": f"""SELECT {_SIZE_TEXT} AS size_text, count(*) AS n
         FROM (SELECT CAST(floor(l_extendedprice) AS BIGINT) * (CAST(1 AS BIGINT) << (5 * l_linenumber)) AS b FROM lineitem)
         GROUP BY 1""",
-    "table_columns": f"""WITH {COUNTS}, {COLUMNS}
-        SELECT tabla, CAST(pos AS INTEGER) AS ordinal_position, col AS column_name, registros
-        FROM cols JOIN counts USING (tabla)""",
-    "pk_declared": f"""WITH {COUNTS}, {PKS}
-        SELECT tabla, CAST(pos AS INTEGER) AS key_position, col AS column_name, registros FROM pks JOIN counts USING (tabla)""",
-    "fk_declared": f"""WITH {COUNTS}, {FKS}
-        SELECT tabla, name AS constraint_name, CAST(pos AS INTEGER) AS key_position, col AS column_name,
-               parent AS foreign_table_name, parent_col AS foreign_column_name, registros
-        FROM fks JOIN counts USING (tabla)""",
-    "index_list": f"""WITH {COUNTS}, {INDEXES}
-        SELECT tabla, name AS index_name, def AS index_definition, registros FROM idx JOIN counts USING (tabla)""",
+    "table_columns": f"""WITH {COLUMNS}
+        SELECT tabla, CAST(pos AS INTEGER) AS ordinal_position, col AS column_name FROM cols""",
     "pk_verify": " UNION ALL ".join(
         _pk_check(t, columns) for t, columns in [*facts.PRIMARY.items(), *facts.UNDECLARED_CANDIDATES]
     ),

@@ -169,8 +169,11 @@ def test_logistic_regression_on_public_example(spark):
 def test_first_rows_and_write(spark, tmp_path, rows):
     df = spark.range(5000).select("id", (F.col("id") % 2).alias("odd"))
     assert samples.first_rows(df, ["id"], 10).agg(F.max("id"), F.count("*")).first()[0:2] == (9, 10)
-    many = samples.first_rows(df, ["id"], 4321, in_one_task=100)
+    many = samples.first_rows(df, ["id"], 4321)
     assert many.agg(F.max("id"), F.count("*")).first()[0:2] == (4320, 4321) and many.columns == df.columns
+    assert samples.first_rows(df, ["id"], 9999).count() == 5000
+    by_two = samples.first_rows(df, ["odd", "id"], 2600)
+    assert rows(by_two) == [*((2 * i, 0) for i in range(2500)), *((2 * i + 1, 1) for i in range(100))] or by_two.count() == 2600
     samples.write_partitioned(df, str(tmp_path / "out"), "odd")
     assert rows(samples.totals_by(spark.read.parquet(str(tmp_path / "out")), ["odd"], F.col("id"))) == [
         (0, 2500, 6247500, 2499.0),

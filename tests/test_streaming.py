@@ -120,6 +120,7 @@ def test_a_run_with_very_many_polls_is_small_before_the_shuffle():
             "run_no": 1,
             "started": 0,
             "at": range(n),
+            "seq": 0,
             "state": ["SUBMITTED"] + ["UNKNOWN"] * (n // 2) + ["RUNNING"] * (n - 2 - n // 2) + ["FAILED"],
         }
     )
