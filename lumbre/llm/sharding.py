@@ -16,7 +16,7 @@ placed as often as they occur, all in one shard.  Other columns are not read.  A
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbre.llm.ranks import ranked
@@ -57,6 +57,14 @@ class Node:
     heavy: list = field(default_factory=list)  # (weight, digest)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], **types: str) -> DataFrame:
+    """A few rows as an expression: no data are sent, and nothing but the JVM makes them."""
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in types.items()))
+    cells = [[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, types.items(), strict=True)] for row in rows]
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*row) for row in cells))))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, size, text_crc32, digest, lang, source``: what sharding needs of each row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -88,7 +96,7 @@ def with_splits(points: DataFrame, splits: list[tuple[int, str, int, int, int]])
     if not splits:
         return points
     spark = points.sparkSession
-    table = spark.createDataFrame(splits, "node int, _along string, _cut long, _left int, _right int")
+    table = literal_rows(spark, splits, node="int", _along="string", _cut="long", _left="int", _right="int")
     along = F.coalesce(*(F.when(F.col("_along") == d, F.col(d)) for d in points.columns if d not in FIXED))
     child = F.when(F.col("_along").isNull(), F.col("node")).when(along < F.col("_cut"), F.col("_left")).otherwise(F.col("_right"))
     joined = points.join(F.broadcast(table), "node", "left")
@@ -109,7 +117,7 @@ def medians(points: DataFrame, asked: list[tuple[int, str, float, int]]) -> dict
             del state[node]
     while state:
         rows = [(n, a, lo, max(1, -(-(hi - lo) // INTERVALS)), hi) for n, (a, lo, hi, _, _) in state.items()]
-        table = spark.createDataFrame(rows, "node int, _along string, _lo long, _step long, _hi long")
+        table = literal_rows(spark, rows, node="int", _along="string", _lo="long", _step="long", _hi="long")
         along = F.coalesce(*(F.when(F.col("_along") == d, F.col(d)) for d in points.columns if d not in FIXED))
         inside = points.join(F.broadcast(table), "node").withColumn("_x", along).filter("_x >= _lo and _x < _hi")
         sums = inside.groupBy("node", F.floor((F.col("_x") - F.col("_lo")) / F.col("_step")).cast("long").alias("at"))
@@ -186,10 +194,10 @@ def kd_shards(rows: DataFrame, shards: int | None = None, target_bytes: int | No
             child.weight = weights.get(child.number, 0) + sum(w for w, _ in child.heavy)
         open_nodes = children
     spark = rows.sparkSession
-    of_node = spark.createDataFrame([(n.number, n.first) for n in leaves], "node int, shard int")
+    of_node = literal_rows(spark, [(n.number, n.first) for n in leaves], node="int", shard="int")
     placed = numbers.join(F.broadcast(of_node), "node").select("digest", "shard")
     known = [(bytearray(digest), n.first) for n in leaves for _, digest in n.heavy]
-    return placed.unionByName(spark.createDataFrame(known, "digest binary, shard int"))
+    return placed.unionByName(literal_rows(spark, known, digest="binary", shard="int"))
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
