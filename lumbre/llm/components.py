@@ -25,6 +25,15 @@ def _near(links: DataFrame) -> DataFrame:
     return others.unionByName(tied.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link at most to a smaller one, and none that has is linked to by others."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (``a, b``, two numbers): the smallest node of its component.
 
@@ -33,12 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     given = links.filter("a is not null and b is not null and a <> b")
     now = cut_lineage(given.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if mark == before:
-            break
-        before = mark
+    while not _settled(now):
         now = cut_lineage(_near(_far(now)))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()

@@ -7,8 +7,8 @@ similarity and not only on the sets.  Texts that agree on a table are candidates
 similar if at most a fifth of the longer one has to be edited.
 
 Texts of a table entry are not paired with each other: all are aligned with one of them, those that are not similar to it with another one drawn
-anew, round by round, until a round links nothing more.  Classes are the connected components of the links.  So a round aligns each text at most
-once per entry, however many share it.  Equal texts are one text from the start.
+anew, round by round, until a round links nothing more.  Classes are the connected components of the links.  So a round aligns each text that is left with at
+most LEADERS others per entry, however many share it.  Equal texts are one text from the start.
 
 Null texts count as empty.  Texts without words are near duplicates of equal texts only; of fewer than five words, there is one
 shingle of all of them.  Texts are read whole.  Ids may repeat or be null: rows are told apart by id and text; the class id is the smallest id.
@@ -33,6 +33,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES, PICKED = 32, 5
+LEADERS = 16
 #: Numbers handled in one go, whatever the length of the text.
 AT_ONCE = 1 << 21
 
@@ -198,26 +199,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     """``node, label`` of the linked texts, from ``members`` (``entry, node``) of table entries with several texts.
 
-    In each round an entry's texts are aligned with one of them, unless both are linked already or the pair was tried before.
+    In each round the texts of an entry that are not linked to one of its leaders yet are aligned with new leaders, four times as
+    many as before up to LEADERS, as ever fewer are left; pairs that were tried before are not tried again.
     """
-    spark = members.sparkSession
-    tried = spark.createDataFrame([], "a long, b long, linked boolean")
-    labels = spark.createDataFrame([], "node long, label long")
-    turn = 0
+    tried = members.sparkSession.createDataFrame([], "a long, b long, linked boolean")
+    apart, turn = members, 0
     while True:
-        placed = members.join(labels, "node", "left").select("entry", "node", F.coalesce("label", "node").alias("label"))
-        drawn = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        leader = F.min(F.struct(drawn.alias("drawn"), "node", "label")).alias("leader")
-        pairs = placed.join(placed.groupBy("entry").agg(leader), "entry").filter("label <> leader.label")
-        pairs = pairs.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct()
-        results = cut_lineage(verified(pairs.join(tried, ["a", "b"], "left_anti"), texts))
+        drawn = [F.xxhash64("node", F.lit(turn), F.lit(i)) for i in range(min(LEADERS, 4**turn))] if turn else [F.col("node")]
+        least = F.array_distinct(F.array(*(F.min(F.struct(d.alias("drawn"), "node")).node for d in drawn)))
+        leaders = members.groupBy("entry").agg(least.alias("leaders"))
+        led = apart.join(leaders, "entry").select("entry", "node", F.explode("leaders").alias("leader"))
+        led = led.select("entry", "node", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
+        pairs = led.filter("a <> b").select("a", "b").distinct()
+        results = cut_lineage(verified(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, texts))
         found = {r["linked"]: r["count"] for r in results.groupBy("linked").count().collect()}
         tried = tried.unionByName(results)
-        if not found.get(True):
-            return labels
-        labels = components(tried.filter("linked").select("a", "b"))
-        if not found.get(False):  # nothing was left apart
-            return labels
+        if not (found.get(True) and found.get(False)):  # nothing new was linked, or nothing is left apart
+            return components(tried.filter("linked").select("a", "b"))
+        # A later leader is one of those apart at times, and stays apart; the first one is whom the others are apart from.
+        open_still = led.filter("a <> b") if turn == 0 else led
+        linked = open_still.join(tried.filter("linked").select("a", "b", F.lit(1).alias("one")), ["a", "b"], "left")
+        still = linked.groupBy("entry", "node").agg(F.count("one").alias("links")).filter("links = 0")
+        apart = cut_lineage(still.select("entry", "node"))
         turn += 1
 
 
