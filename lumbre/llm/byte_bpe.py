@@ -23,9 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-#: Entries kept per task in each memory, some hundred bytes each; a full one is emptied.
-REMEMBERED = 1_000_000
+#: Results remembered per worker and memory, twice as many at most, of some hundred bytes each.
+REMEMBERED = 120_000
+#: Rows whose results are held at once.
+PART = 200
 #: Characters looked at in one go.
 STRETCH = 1 << 20
 
@@ -47,15 +50,19 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """A bounded memory of a function's results."""
+    """A bounded memory of a function's results: a full one becomes the old one, and what is used again comes back."""
 
     def __init__(self, function, limit: int = REMEMBERED):
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.old = function, limit, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.function(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        self[key] = value
         return value
 
 
@@ -145,6 +152,13 @@ def encoder(content: bytes, pattern: str) -> BytePairs:
     return BytePairs(read_ranks(content), pattern)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that a worker holds the results of no more."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PART):
+            yield batch.slice(start, PART)
+
+
 def _vocabulary(docs: DataFrame, path: str):
     """The vocabulary file, read once and sent to the executors; its size does not depend on the data."""
     with open(path, "rb") as file:
@@ -158,29 +172,29 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """
     content = _vocabulary(docs, path)
 
-    def ids(texts):
+    def ids(batches):
         pairs = encoder(content.value, pattern)
-        for batch in texts:
-            rows = [pairs.encode(t.as_py()) for t in batch]
+        for part in in_parts(batches):
+            rows = [pairs.encode(t or "") for t in part.column(1).to_pylist()]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.concatenate(rows) if rows else np.array([], np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], [key, "ids"])
 
-    ids.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    encoded = F.arrow_udf(ids, "array<int>")
-    return docs.select(F.col(key), encoded(F.coalesce(F.col(text), F.lit(""))).alias("ids"))
+    given = docs.select(F.col(key), F.col(text))
+    schema = StructType([given.schema[0], StructField("ids", ArrayType(IntegerType()))])
+    return given.mapInArrow(ids, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of ``ids`` as a binary column; null ids give no bytes."""
     content = _vocabulary(encoded, path)
 
-    def back(lists):
+    def back(batches):
         bytes_of = {rank: token for token, rank in read_ranks(content.value).items()}
-        for batch in lists:
-            rows = [b"".join(map(bytes_of.__getitem__, r.values.to_numpy().tolist())) if r.is_valid else b"" for r in batch]
-            yield pa.array(rows, pa.binary())
+        for part in in_parts(batches):
+            rows = [b"".join(map(bytes_of.__getitem__, r or ())) for r in part.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())], [*part.schema.names, into])
 
-    back.__annotations__ = {"lists": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return encoded.withColumn(into, F.arrow_udf(back, "binary")(F.col(ids)))
+    schema = StructType([*encoded.schema.fields, StructField(into, BinaryType())])
+    return encoded.mapInArrow(back, schema)
