@@ -6,9 +6,11 @@ they have in the text.  Two texts agree on a table only if the same shingles com
 similarity and not only on the sets.  Texts that agree on a table are candidates; a banded alignment of their shingle sequences decides:
 similar if at most a fifth of the longer one has to be edited.
 
-Texts of a table entry are not paired with each other: all are aligned with one of them, those that are not similar to it with another one drawn
-anew, round by round, until a round links nothing more.  Classes are the connected components of the links.  So a round aligns each text that is left with at
-most LEADERS others per entry, however many share it.  Equal texts are one text from the start.
+Texts of a table entry are first aligned with one of it; most entries are one class then.  In the others
+every two texts of different classes are decided: those of small entries one by one; large entries are divided by the rarest
+shingles, at one of which similar texts must meet, and parts that are still large (taken together where they overlap) are compared in blocks, where shared shingles are counted
+for all pairs at once and pairs that share enough are aligned unless they are linked by then.  So candidates that are similar are always
+in one class.  Classes are the connected components of the links.  Equal texts are one text from the start.
 
 Null texts count as empty.  Texts without words are near duplicates of equal texts only; of fewer than five words, there is one
 shingle of all of them.  Texts are read whole.  Ids may repeat or be null: rows are told apart by id and text; the class id is the smallest id.
@@ -33,7 +35,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES, PICKED = 32, 5
-LEADERS = 16
+#: Up to so many texts of an entry are paired with each other; larger entries are divided, and compared in blocks of BLOCK texts.
+SMALL, BLOCK = 16, 512
+#: Classes of shingles by which frequencies are counted, and shingles counted in one go in a block.
+COUNTER_BITS, WIDE = 18, 4096
 #: Numbers handled in one go, whatever the length of the text.
 AT_ONCE = 1 << 21
 
@@ -142,6 +147,11 @@ def within(a: list, b: list, limit: int) -> bool:
     return False
 
 
+def spared(size: int) -> int:
+    """How many of ``size`` shingles a text may not share with a similar one."""
+    return int((1 - SIMILARITY) * size + 1e-9)
+
+
 def similar(a: str, b: str) -> bool:
     x, y = shingles(a), shingles(b)
     longer = max(len(x), len(y))
@@ -154,7 +164,7 @@ def similar(a: str, b: str) -> bool:
     p, q = p[start:], q[start:]
     end = same_ahead(p[::-1], q[::-1], 0, 0)
     p, q = p[: len(p) - end], q[: len(q) - end]
-    return within(p, q, int((1 - SIMILARITY) * longer + 1e-9))
+    return within(p, q, spared(longer))
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,32 +206,147 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").mapInArrow(decide, "a long, b long, linked boolean")
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``entry, node, label, n`` of the entries (of ``n`` texts) that hold texts of several components; of entries with the same texts, one."""
+    placed = members.join(labels.withColumnRenamed("label", "_of"), "node", "left").select("entry", "node", F.coalesce("_of", "node").alias("label"))
+    marks = (F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2))
+    sizes = placed.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), *marks)
+    several = sizes.filter("least < most").groupBy("n", "x0", "x1").agg(F.min("entry").alias("entry"))
+    return cut_lineage(placed.join(several.select("entry", "n"), "entry"))
+
+
+def rare_entries(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``entry, node``: the rarest shingles of each of the ``nodes``, as many as it may lack of a similar text, and one.
+
+    Similar texts share all but so many shingles, so in any order of all shingles they meet at one of the first ones.  The order is by
+    frequency among these texts, counted in 2**COUNTER_BITS classes of shingles.
+    """
+    crowd = nodes.join(texts, "node").select("node", "_text")
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def count(batches):
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("_text").to_pylist():
+                np.add.at(total, shingle_numbers(WORD.findall(text)) >> shift, 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"class": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+
+    counts = crowd.mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << COUNTER_BITS, np.int64)
+    frequency[counts["class"].to_numpy()] = counts["n"].to_numpy()
+
+    def rarest(texts):
+        for batch in texts:
+            rows = []
+            for text in batch.to_pylist():
+                numbers = shingle_numbers(WORD.findall(text))
+                rows.append(numbers[np.lexsort((numbers, frequency[numbers >> shift]))[: spared(len(numbers)) + 1]].view(np.int64))
+            yield pa.array(rows, pa.list_(pa.int64()))
+
+    rarest.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return crowd.select("node", F.explode(F.arrow_udf(rarest, "array<long>")("_text")).alias("entry"))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """``parts`` (``entry, node, label, n``) without ``n``; parts that share texts are one where that makes fewer pairs than all of them have."""
+    groups = components(parts.select(F.col("node").alias("a"), F.col("entry").alias("b"))).select(F.col("node").alias("entry"), F.col("label").alias("group"))
+    grouped = cut_lineage(parts.join(groups, "entry"))
+    pairs = grouped.select("group", "entry", "n").distinct().groupBy("group").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    texts = grouped.select("group", "node").distinct().groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("texts"))
+    together = pairs.join(texts, "group").select("group", (F.col("texts") * F.col("texts") <= F.col("pairs")).alias("together"))
+    entry = F.when(F.col("together"), F.xxhash64("group", F.lit(0))).otherwise(F.col("entry")).alias("entry")
+    return grouped.join(together, "group").select(entry, "node", "label").distinct()
+
+
+def forest(nodes: list[int], labels: list[int], texts: list[str]) -> list[tuple[int, int]]:
+    """Links between similar texts of different components, as few as tie together what is similar.
+
+    Only pairs that share enough shingles for it are aligned; those are counted for all pairs at once.
+    """
+    numbers = [shingle_numbers(WORD.findall(t)) for t in texts]
+    sizes = np.array([len(x) for x in numbers])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    _, kind, many = np.unique(np.concatenate(numbers), return_inverse=True, return_counts=True)
+    owner, kind = owner[many[kind] > 1], kind[many[kind] > 1]
+    kind = np.unique(kind, return_inverse=True)[1]
+    order = np.argsort(kind, kind="stable")
+    owner, kind = owner[order], kind[order]
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    kinds = int(kind[-1]) + 1 if len(kind) else 0
+    for first in range(0, kinds, WIDE):
+        start, end = np.searchsorted(kind, (first, first + WIDE))
+        part = np.zeros((len(texts), min(WIDE, kinds - first)), np.float32)
+        part[owner[start:end], kind[start:end] - first] = 1
+        common += part @ part.T
+    longer = np.maximum(sizes[:, None], sizes[None, :])
+    given = np.array(labels)
+    enough = (common >= longer - np.floor((1 - SIMILARITY) * longer + 1e-9)) & (given[:, None] < given[None, :])
+    root = {label: label for label in labels}
+
+    def top(label):
+        while root[label] != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    links = []
+    for i, j in np.argwhere(enough).tolist():
+        x, y = top(labels[i]), top(labels[j])
+        if x != y and similar(texts[i], texts[j]):
+            root[max(x, y)] = min(x, y)
+            links.append((nodes[i], nodes[j]))
+    return links
+
+
+def linked_in_blocks(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: links that tie together all similar texts of each entry in ``parts`` (``entry, node, label``), however many they are.
+
+    The texts of an entry are dealt out to blocks, those of a large component to blocks of their own, and any two blocks are compared
+    unless both are of the same component.
+    """
+    sizes = parts.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("many"))
+    mixed = sizes.groupBy("entry").agg(F.sum(F.when(F.col("many") <= BLOCK, F.col("many"))).alias("mixed"))
+    own = F.when(F.col("many") > BLOCK, F.col("label"))
+    deal = F.ceil(F.when(own.isNotNull(), F.col("many")).otherwise(F.col("mixed")) / BLOCK).alias("deal")
+    kinds = sizes.join(mixed, "entry").select("entry", "label", own.alias("own"), deal)
+    by = F.when(F.col("own").isNotNull(), F.xxhash64("node")).otherwise(F.xxhash64("label"))
+    block = F.xxhash64("entry", F.coalesce("own", F.lit(-1)), F.pmod(by, "deal")).alias("block")
+    dealt = cut_lineage(parts.join(kinds, ["entry", "label"]).select("entry", "node", "label", "own", block))
+    blocks = dealt.select("entry", "own", "block").distinct()
+    first, second = (blocks.select("entry", F.col("own").alias(f"own_{x}"), F.col("block").alias(x)) for x in "ab")
+    both = first.join(second, "entry").filter("a <= b and coalesce(own_a <> own_b, true)")
+    tasks = both.select(F.xxhash64("a", "b").alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    compared = dealt.select("node", "label", "block").join(tasks, "block").join(texts, "node").select("task", "node", "label", "_text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = forest(*(table.column(n).to_pylist() for n in ("node", "label", "_text")))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return compared.groupBy("task").applyInArrow(compare, "a long, b long")
+
+
 def link(members: DataFrame, texts: DataFrame) -> DataFrame:
     """``node, label`` of the linked texts, from ``members`` (``entry, node``) of table entries with several texts.
 
-    In each round the texts of an entry that are not linked to one of its leaders yet are aligned with new leaders, four times as
-    many as before up to LEADERS, as ever fewer are left; pairs that were tried before are not tried again.
+    First the texts of an entry are aligned with one of it.  In the
+    entries that then hold several components all pairs of different components are decided: one by one in entries of up to
+    SMALL texts; larger ones are divided by rare shingles first, and what is still larger is compared in blocks.
     """
-    tried = members.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-    apart, turn = members, 0
-    while True:
-        drawn = [F.xxhash64("node", F.lit(turn), F.lit(i)) for i in range(min(LEADERS, 4**turn))] if turn else [F.col("node")]
-        least = F.array_distinct(F.array(*(F.min(F.struct(d.alias("drawn"), "node")).node for d in drawn)))
-        leaders = members.groupBy("entry").agg(least.alias("leaders"))
-        led = apart.join(leaders, "entry").select("entry", "node", F.explode("leaders").alias("leader"))
-        led = led.select("entry", "node", F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
-        pairs = led.filter("a <> b").select("a", "b").distinct()
-        results = cut_lineage(verified(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, texts))
-        found = {r["linked"]: r["count"] for r in results.groupBy("linked").count().collect()}
-        tried = tried.unionByName(results)
-        if not (found.get(True) and found.get(False)):  # nothing new was linked, or nothing is left apart
-            return components(tried.filter("linked").select("a", "b"))
-        # A later leader is one of those apart at times, and stays apart; the first one is whom the others are apart from.
-        open_still = led.filter("a <> b") if turn == 0 else led
-        linked = open_still.join(tried.filter("linked").select("a", "b", F.lit(1).alias("one")), ["a", "b"], "left")
-        still = linked.groupBy("entry", "node").agg(F.count("one").alias("links")).filter("links = 0")
-        apart = cut_lineage(still.select("entry", "node"))
-        turn += 1
+    leaders = members.groupBy("entry").agg(F.min("node").alias("leader"))
+    pairs = members.join(leaders, "entry").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    tried = cut_lineage(verified(pairs, texts))
+    labels = components(tried.filter("linked").select("a", "b"))
+    now = unsettled(members, labels).filter("n > 2")  # two texts were aligned with each other at once
+    if now.isEmpty():
+        return labels
+    crowded = now.filter(F.col("n") > SMALL).select("node").distinct()
+    divided = unsettled(cut_lineage(rare_entries(crowded, texts)), labels)
+    few = now.unionByName(divided).filter(F.col("n") <= SMALL).drop("n")
+    first, second = (few.select("entry", F.col("node").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab")
+    pairs = first.join(second, "entry").filter("a > b and of_a <> of_b").select("a", "b").distinct()
+    results = verified(pairs.join(tried, ["a", "b"], "left_anti"), texts)
+    links = tried.unionByName(results).filter("linked").select("a", "b")
+    return components(links.unionByName(linked_in_blocks(joined(divided.filter(F.col("n") > SMALL)), texts)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,7 +359,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = cut_lineage(rows.join(nodes, "_digest").filter("_row = node").select("node", "_id", "_digest", "_sketch"))
     entries = texts.select("node", F.posexplode("_sketch").alias("table", "value"))
     entries = entries.select(F.xxhash64("table", "value").alias("entry"), "node")
-    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entry")
+    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(entries.join(shared, "entry"))
     involved = members.select("node").distinct().join(texts.select("node", "_id", "_digest"), "node")
     # The text of the row that stands for its equals: id and digest are spread evenly also where one text is very frequent.

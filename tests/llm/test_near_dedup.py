@@ -113,6 +113,54 @@ def test_recall_on_the_given_documents(spark, sf_dir):
     assert len(near) > 50 and together >= 0.99 * len(near)
 
 
+def edited(rng, words, edits):
+    """Every edit replaces a word, far from the others, so it changes five shingles."""
+    words = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 5), edits):
+        words[at] = f"n{rng.randint(0, 10**9)}"
+    return " ".join(words)
+
+
+def test_star_of_many_copies_is_one_class(table):
+    """Copies are similar to their base, hardly ever to each other."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(204)]
+    texts = [edited(rng, base, rng.randint(6, 7)) for _ in range(3000)]
+    texts.insert(1500, " ".join(base))
+    own = N.sketch(texts[1500])
+    want = {i for i, t in enumerate(texts) if i == 1500 or (N.sketch(t) == own).any() and N.similar(t, texts[1500])}
+    label = {r["doc_id"]: r["class_id"] for r in N.near_duplicates(table([document(i, t) for i, t in enumerate(texts)], files=4)).collect()}
+    assert len(want) > 2900 and {label[i] for i in want} == {label[1500]}
+
+
+def test_chain_in_a_large_entry_is_one_class(spark):
+    """Only neighbours in the chain are similar; everything lies in one entry."""
+    rng = random.Random(13)
+    texts = [[f"w{i}" for i in range(204)]]
+    for _ in range(39):
+        texts.append(edited(rng, texts[-1], 7).split())
+    texts += [[f"o{k}_{i}" for i in range(100)] + texts[0][:20] for k in range(40)]
+    order = rng.sample(range(80), 80)
+    rows = [(order[i], " ".join(t)) for i, t in enumerate(texts)]
+    members = spark.createDataFrame([(1, node) for node, _ in rows], "entry long, node long")
+    label = {r["node"]: r["label"] for r in N.link(members, spark.createDataFrame(rows, "node long, _text string")).collect()}
+    want = classes(sorted(rows))
+    assert len({want[i] for i in order[:40]}) == 1 and {i: label.get(i, i) for i in want} == want
+
+
+def test_forest_ties_what_brute_force_ties():
+    rng = random.Random(12)
+    rows = sorted({d[1]: d for d in corpus(rng)}.values())
+    texts = [t for _, t, *_ in rows]
+    links = N.forest(list(range(len(texts))), list(range(len(texts))), texts)
+    label = {i: i for i in range(len(texts))}
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        assert low != high and N.similar(texts[a], texts[b])
+        label = {i: low if c == high else c for i, c in label.items()}
+    assert label == classes([(i, t) for i, t in enumerate(texts)])
+
+
 def test_odd_rows(odd):
     rows = N.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
