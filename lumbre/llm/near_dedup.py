@@ -3,7 +3,8 @@
 Texts are sequences of shingles of five words.  Each of ``TABLES`` hash functions picks the ``PICKED`` shingles with the smallest
 values, shingles that occur several times told apart by their occurrence numbers; the picked ones are kept in the order
 they have in the text.  Two texts agree on a table only if the same shingles come in the same order, which depends on the edit
-similarity and not only on the sets.  Texts that agree on a table are candidates; a banded alignment of their shingle sequences decides:
+similarity and not only on the sets.  Texts of fewer than ``SHORT`` shingles, for which a table asks too much, are found by a prefix filter
+instead, which no similar pair escapes.  Texts that agree on a table are candidates; a banded alignment of their shingle sequences decides:
 similar if at most a fifth of the longer one has to be edited.
 
 Texts of a table entry are first aligned with one of it; most entries are one class then.  In the others
@@ -35,6 +36,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES, PICKED = 32, 5
+#: Texts of fewer shingles are paired by their first shingles in a fixed order instead of tables.
+SHORT = 50
 #: Up to so many texts of an entry are paired with each other; larger entries are divided, and compared in blocks of BLOCK texts.
 SMALL, BLOCK = 16, 512
 #: Classes of shingles by which frequencies are counted, and shingles counted in one go in a block.
@@ -80,25 +83,29 @@ def shingle_numbers(words: list[str]) -> np.ndarray:
 
 
 def sketch(text: str) -> np.ndarray:
-    """One number per table: what the picked shingles are, in their order; none for a text without words."""
+    """One number per table: what the picked shingles are, in their order; none for a text without words.
+
+    A short text has its smallest shingles instead, as many as it may lack of a similar text, and one: similar texts share one of them.
+    """
     numbers = shingle_numbers(WORD.findall(text))
     if not len(numbers):
         return np.zeros(0, np.int64)
-    picked = min(PICKED, len(numbers))
+    entry = np.zeros(0, np.uint64)
+    if len(numbers) * SIMILARITY < SHORT:  # also those that a shorter one may be similar to
+        entry = mixed(np.sort(numbers)[: spared(len(numbers)) + 1])
+    if len(numbers) < SHORT:
+        return entry.view(np.int64)
     places = []
     step = max(1, AT_ONCE // len(numbers))
     for first in range(0, TABLES, step):
         last = min(TABLES, first + step)
         values = (numbers[None, :] ^ _SEEDS[first:last, None]) * _ODD[first:last, None]
-        if picked < len(numbers):
-            places.append(np.sort(np.argpartition(values, picked - 1, axis=1)[:, :picked], axis=1))
-        else:
-            places.append(np.tile(np.arange(picked), (last - first, 1)))
+        places.append(np.sort(np.argpartition(values, PICKED - 1, axis=1)[:, :PICKED], axis=1))
     chosen = numbers[np.concatenate(places)]
-    entry = _SEEDS.copy()
-    for place in range(picked):
-        entry = mixed(entry ^ chosen[:, place])
-    return entry.view(np.int64)
+    table = _SEEDS.copy()
+    for place in range(PICKED):
+        table = mixed(table ^ chosen[:, place])
+    return np.concatenate([table, entry]).view(np.int64)
 
 
 def shingles(text: str) -> list[str]:
@@ -357,8 +364,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = cut_lineage(sketched(docs, key, text))
     nodes = rows.groupBy("_digest").agg(F.min("_row").alias("node"))
     texts = cut_lineage(rows.join(nodes, "_digest").filter("_row = node").select("node", "_id", "_digest", "_sketch"))
-    entries = texts.select("node", F.posexplode("_sketch").alias("table", "value"))
-    entries = entries.select(F.xxhash64("table", "value").alias("entry"), "node")
+    entries = texts.select(F.explode("_sketch").alias("entry"), "node")
     shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(entries.join(shared, "entry"))
     involved = members.select("node").distinct().join(texts.select("node", "_id", "_digest"), "node")

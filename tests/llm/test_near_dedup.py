@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from conftest import ODD, document
@@ -133,6 +134,20 @@ def test_star_of_many_copies_is_one_class(table):
     assert len(want) > 2900 and {label[i] for i in want} == {label[1500]}
 
 
+def test_similar_short_texts_always_meet():
+    rng = random.Random(14)
+    met = 0
+    for _ in range(20_000):
+        words = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 53))]
+        a, b = " ".join(words), " ".join(changed(rng, words, rng.randint(1, 2), lambda: "new"))
+        if N.similar(a, b):
+            met += 1
+            assert np.isin(N.sketch(a), N.sketch(b)).any(), (a, b)
+    assert met > 1000
+    added = "a b c d e f g h"
+    assert N.similar(added, added + " i") and np.isin(N.sketch(added), N.sketch(added + " i")).any()
+
+
 def test_chain_in_a_large_entry_is_one_class(spark):
     """Only neighbours in the chain are similar; everything lies in one entry."""
     rng = random.Random(13)
