@@ -4,7 +4,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import byte_bpe, exact_dedup, fill_middle, line_dedup, near_dedup, packing, pii, quality, secret_scan, sharding, warc
+from lumbre.llm import (
+    byte_bpe,
+    exact_dedup,
+    fill_middle,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    token_alignment,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +144,11 @@ FROM f
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return made.select(
@@ -173,6 +191,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_semi_crf_pii": op9_semi_crf_pii,
     "op10_warc_index": op10_warc_index,
+    "op11_token_alignment": op11_token_alignment,
     "op13_fill_middle": op13_fill_middle,
 }
 
