@@ -16,6 +16,7 @@ from lumbre.llm import (
     secret_scan,
     sharding,
     token_alignment,
+    toxicity,
     warc,
 )
 
@@ -149,6 +150,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_statistics(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
 
 
+def op12_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return made.select(
@@ -192,6 +197,7 @@ QUERIES = {
     "op9_semi_crf_pii": op9_semi_crf_pii,
     "op10_warc_index": op10_warc_index,
     "op11_token_alignment": op11_token_alignment,
+    "op12_toxicity_trees": op12_toxicity_trees,
     "op13_fill_middle": op13_fill_middle,
 }
 
