@@ -9,7 +9,6 @@ Null texts count as empty; an empty document is its closing id alone.  Texts are
 are packed as often as they occur.  Other columns are not read.  An empty table gives no pieces.
 """
 
-import functools
 import os
 import re
 from collections.abc import Iterator, Mapping
@@ -19,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbre.llm.byte_bpe import WHITE, Memory
+from lumbre.llm.byte_bpe import WHITE
 from lumbre.llm.ranks import ranked
+from lumbre.llm.workers import Memory, held
 from lumbre.storage import cut_lineage
 
 CAPACITY = 2048
 CLOSING = 0
-#: Results remembered per worker and memory, twice as many at most, of some hundred bytes each.
-REMEMBERED = 250_000
+#: Bytes of remembered words and pieces per worker, half of them each; longer words are not remembered.
+REMEMBERED = 96 << 20
+LONGEST = 64
 
 #: White space for Python but not for the tokenizer, and a split that knows it.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -59,8 +60,8 @@ class Words:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces = Memory(self._piece, REMEMBERED)
-        self.words = Memory(self._word, REMEMBERED)
+        self.pieces = Memory(self._piece, REMEMBERED // 2, LONGEST)
+        self.words = Memory(self._word, REMEMBERED // 2, LONGEST)
 
     def _piece(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -77,19 +78,13 @@ class Words:
         return b"".join(map(self.words.__getitem__, words)) + CLOSING.to_bytes(4, "little")
 
 
-@functools.lru_cache(maxsize=2)
-def words_of(content: bytes) -> Words:
-    """One per Python worker, so that the tasks it runs share what it remembers."""
-    return Words(content)
-
-
 def token_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: ids of each whole text by the tokenizer file at ``path``, then the closing id, packed as binary."""
     with open(path, "rb") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(texts):
-        words = words_of(content.value)
+        words = held(Words, content.value)
         for batch in texts:
             yield pa.array([words.packed(t.as_py()) for t in batch], pa.binary())
 

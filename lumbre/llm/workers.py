@@ -24,7 +24,7 @@ def held(make: Callable, *given):
 class Memory(dict):
     """Results of a function, ``limit`` bytes at most: half of them new; a full half becomes the old one, and what is used again comes back.
 
-    A key longer than ``longest`` is computed each time.
+    A key longer than ``longest`` is computed each time.  Of a key that is a tuple, the parts are taken to be kept elsewhere.
     """
 
     def __init__(self, function: Callable, limit: int, longest: int | None = None):
@@ -39,8 +39,8 @@ class Memory(dict):
         if value is None:
             value = self.function(key)
         size = ENTRY + getsizeof(key) + getsizeof(value)
-        if type(value) is tuple or type(key) is tuple:
-            size += sum(map(getsizeof, value if type(value) is tuple else key))
+        if type(value) is tuple:
+            size += sum(map(getsizeof, value))
         if self.used + size > self.limit:
             self.old = dict(self)
             self.clear()

@@ -48,10 +48,30 @@ def test_backtracking_with_a_small_vocabulary():
             assert pairs.tokens(piece) == want
 
 
-def test_memory_is_bounded():
-    memory = B.Memory(lambda x: x + 1, limit=10)
-    assert [memory[i] for i in range(100)] == list(range(1, 101))
-    assert len(memory) <= 10 and len(memory.old) <= 10
+@pytest.mark.parametrize("seed", range(30))
+def test_pairs_go_together_as_the_merges_say(seed):
+    """Random vocabularies made by merges, and some with tokens that no merge reaches: seams against merges one by one."""
+    rng = random.Random(seed)
+    tokens = [bytes([97 + i]) for i in range(3)]
+    while len(tokens) < 25:
+        new = rng.choice(tokens) + rng.choice(tokens)
+        if new not in tokens and len(new) < 9:
+            tokens.append(new)
+    if seed % 3 == 0:
+        tokens[3:] = rng.sample(tokens[3:], len(tokens) - 3)
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(tokens[3:])}
+    pairs = B.BytePairs(ranks, public_tokenizers.PATTERN)
+    for a in tokens:
+        for b in tokens:
+            if pairs.merged(a) == [a] and pairs.merged(b) == [b]:
+                assert pairs.together[a, b] == (pairs.merged(a + b) == [a, b]), (a, b)
+
+
+def test_decoding(ranks):
+    pairs = B.BytePairs(ranks, public_tokenizers.PATTERN)
+    ids = B.np.array(random.Random(1).choices(range(50256), k=2000), B.np.int32)
+    tokens = {n: t for t, n in ranks.items()}
+    assert pairs.decode(ids) == b"".join(tokens[i] for i in ids.tolist()) and pairs.decode(ids[:0]) == b""
 
 
 def test_rows_and_round_trip(odd, library):
@@ -59,4 +79,6 @@ def test_rows_and_round_trip(odd, library):
     texts = sorted((r["text"] or "") for r in odd.select("text").collect())
     assert sorted(bytes(r["decoded"]).decode() for r in rows) == texts
     assert all(library.encode_ordinary(bytes(r["decoded"]).decode()) == r["ids"] for r in rows)
+    at_once = B.encode(odd, PATH, public_tokenizers.PATTERN, back="decoded").collect()
+    assert sorted((r["ids"], r["decoded"]) for r in at_once) == sorted((r["ids"], r["decoded"]) for r in rows)
     assert B.encode(odd.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
