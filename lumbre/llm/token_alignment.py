@@ -58,22 +58,62 @@ def piece_vocabulary(pieces) -> list[bytes]:
 
 
 def settled() -> re.Pattern:
-    """Finds a character whose class (letter, number, space, other) is not the same in all versions of Unicode, or a very long run."""
+    """Finds a character whose class (letter, number, space, other) is not the same in all versions of Unicode, U+2581, or a very long run."""
 
     def kind(database, sign):
         category = database.category(sign)
         return None if category == "Cn" else category[0] if category[0] in "LNZ" else "-"
 
-    known = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if c not in "\x1c\x1d\x1e\x1f\x85"]
+    known = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if c not in "\x1c\x1d\x1e\x1f\x85▁"]
     same = [c for c in known if kind(unicodedata, c) and kind(unicodedata, c) == kind(unicodedata.ucd_3_2_0, c)]
     return re.compile(f"[^{''.join(map(re.escape, same))}]|\\S{{{LONG_RUN}}}|\\s{{{LONG_RUN}}}")
 
 
+class FasterPieces:
+    """The merges of a piece tokenizer in a library for bytes.
+
+    Characters of the vocabulary are put together from their bytes by the lowest ranks, so that they are whole before anything else is merged; then come
+    the pieces in the order of their scores.  Bytes of any other character stay alone, which is the tokenizer's way out for them, too.
+    No piece goes on after a space that follows ink, so words are merged by themselves.  Pieces of spaces alone share one score, which a rank cannot say: texts
+    with two spaces in a row are not for this class.
+    """
+
+    def __init__(self, pieces):
+        from tiktoken import Encoding
+
+        normal = [i for i in range(pieces.get_piece_size()) if not (pieces.is_byte(i) or pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_unused(i))]
+        names = {i: pieces.id_to_piece(i).replace("▁", " ") for i in normal}
+        byte_id = {int(pieces.id_to_piece(i)[3:5], 16): i for i in range(pieces.get_piece_size()) if pieces.is_byte(i)}
+        merged = [i for i in normal if len(names[i]) > 1 and names[i].strip(" ")]
+        scores = [pieces.get_score(i) for i in merged]
+        if len(byte_id) < 256 or any(" " in n.lstrip(" ") for n in names.values()) or any(b >= a for a, b in zip(scores, scores[1:], strict=False)):
+            raise ValueError("merges of this tokenizer are not told by its scores")
+        ids = {bytes([b]): [i] for b, i in byte_id.items()} | {names[i].encode(): [i] for i in normal if len(names[i]) == 1}
+        for letter in list(ids):
+            for size in range(2, len(letter)):
+                ids.setdefault(letter[:size], [byte_id[b] for b in letter[:size]])
+        order = sorted(ids, key=lambda t: (len(t), t)) + [names[i].encode() for i in merged]
+        ids |= {names[i].encode(): [i] for i in merged}
+        words = r" *[^ \n]+|\n| +" if not any("\n" in n for n in names.values()) else " *[^ ]+| +"
+        self.library = Encoding("pieces", pat_str=words, mergeable_ranks={t: n for n, t in enumerate(order)}, special_tokens={})
+        self.many = np.array([len(ids[t]) for t in order])
+        self.flat = np.array([i for t in order for i in ids[t]], np.int32)
+        self.starts = np.cumsum(self.many) - self.many
+
+    def encode(self, spaced: str) -> np.ndarray:
+        ranks = np.array(self.library.encode_ordinary(spaced))
+        many, starts = self.many[ranks], self.starts[ranks]
+        if len(ranks) == int(many.sum()):
+            return self.flat[starts]
+        ends = np.cumsum(many)
+        return self.flat[np.repeat(starts - ends + many, many) + np.arange(int(ends[-1]))]
+
+
 class Pair:
     """Both tokenizers, by the contents of their files.
 
-    Where the classes of all characters are beyond doubt, the merges of A run in a faster library: its ranks are A's ids, which must be in
-    the order of A's merges.  Other texts go through A itself.
+    Where the classes of all characters are beyond doubt, the merges of both run in a faster library, whose tokens tile the text whatever it is.
+    For A its ranks are A's ids, which must be in the order of A's merges.  Other texts go through the tokenizers themselves.
     """
 
     def __init__(self, content_a: bytes, content_b: bytes, pattern: str):
@@ -86,7 +126,8 @@ class Pair:
         self.b = SentencePieceProcessor(model_proto=content_b)
         self.bytes_a, self.bytes_b = byte_vocabulary(self.a), piece_vocabulary(self.b)
         self.size_a, self.size_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.fast = self._ranked(json.loads(content_a), pattern)
+        self.fast_a = self._ranked(json.loads(content_a), pattern)
+        self.fast_b = FasterPieces(self.b)
         self.doubtful = settled()
         ids = range(max(len(self.bytes_a), len(self.bytes_b)))
         #: Every id before a comma, a bar and a semicolon.
@@ -101,17 +142,16 @@ class Pair:
         merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in file["model"]["merges"])
         order = [vocabulary[m] for m in merges]
         if order != sorted(order) or len(order) + 256 != len(vocabulary) or file["normalizer"] is not None:
-            return None
-        return Encoding("a", pat_str=pattern, mergeable_ranks={self.bytes_a[n]: n for n in vocabulary.values()}, special_tokens={})
-
-    def ids_a(self, spaced: str) -> list[int]:
-        if self.fast is None or self.doubtful.search(spaced):
-            return self.a.encode(spaced, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(spaced)
+            raise ValueError("ids of this tokenizer are not in the order of its merges")
+        return Encoding("bytes", pat_str=pattern, mergeable_ranks={self.bytes_a[n]: n for n in vocabulary.values()}, special_tokens={})
 
     def tokens(self, spaced: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides for a text that begins with a space; none if a tokenizer changes it."""
-        ids_a, ids_b = self.ids_a(spaced), self.b.encode(spaced[1:])  # the tokenizer adds the space
+        settled = not self.doubtful.search(spaced)
+        ids_a = self.fast_a.encode_ordinary(spaced) if settled else self.a.encode(spaced, add_special_tokens=False).ids
+        if settled and "  " not in spaced:
+            return np.array(ids_a, np.int32), self.fast_b.encode(spaced)
+        ids_b = self.b.encode(spaced[1:])  # the tokenizer adds the space
         given = spaced.encode()
         for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
             if b"".join(map(table.__getitem__, ids)) != given:

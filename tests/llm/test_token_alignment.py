@@ -102,6 +102,24 @@ def test_tokens_as_by_the_libraries(plain):
         assert ([], []) == plain.tokens(text) if ids is None else tuple(i.tolist() for i in ids) == plain.tokens(text)
 
 
+def test_every_settled_character_as_by_the_libraries(plain):
+    both = pair()
+    signs = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if not both.doubtful.search(c)]
+    assert len(signs) > 30_000
+    for first in range(0, len(signs), 50):
+        some = signs[first : first + 50]
+        for text in ("".join(some), " a".join(some), " ".join(some)):
+            assert not both.doubtful.search(text)
+            assert tuple(i.tolist() for i in both.tokens(f" {text}")) == plain.tokens(text)
+
+
+def test_documents_as_by_the_libraries(plain, spark, sf_dir):
+    both = pair()
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
+        if row["text"]:
+            assert tuple(i.tolist() for i in both.tokens(f" {row['text']}")) == plain.tokens(row["text"])
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "!?" * 2000, " " * 3000 + "x", "Zufallswörter" * 300, "línea\n" * 2000, " ", "x "])
 def test_long_runs(plain, text):
     assert tuple(i.tolist() for i in pair().tokens(f" {text}")) == plain.tokens(text)
