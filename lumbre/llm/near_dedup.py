@@ -38,8 +38,9 @@ SIMILARITY = 0.8
 TABLES, PICKED = 32, 5
 #: Texts of fewer shingles are paired by their first shingles in a fixed order instead of tables.
 SHORT = 50
-#: Up to so many texts of an entry are paired with each other; larger entries are divided, and compared in blocks of BLOCK texts.
-SMALL, BLOCK = 16, 512
+#: Up to so many texts of an entry are paired with each other; larger entries are divided, and compared in blocks of some BLOCK texts and BLOCK_CHARS
+#: characters, whichever makes more blocks; a longer text is a block by itself.
+SMALL, BLOCK, BLOCK_CHARS = 16, 512, 2 << 20
 #: Classes of shingles by which frequencies are counted, and shingles counted in one go in a block.
 COUNTER_BITS, WIDE = 18, 4096
 #: Numbers handled in one go, whatever the length of the text.
@@ -316,10 +317,13 @@ def linked_in_blocks(parts: DataFrame, texts: DataFrame) -> DataFrame:
     The texts of an entry are dealt out to blocks, those of a large component to blocks of their own, and any two blocks are compared
     unless both are of the same component.
     """
-    sizes = parts.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("many"))
-    mixed = sizes.groupBy("entry").agg(F.sum(F.when(F.col("many") <= BLOCK, F.col("many"))).alias("mixed"))
-    own = F.when(F.col("many") > BLOCK, F.col("label"))
-    deal = F.ceil(F.when(own.isNotNull(), F.col("many")).otherwise(F.col("mixed")) / BLOCK).alias("deal")
+    measured = parts.join(texts.select("node", F.length("_text").alias("_chars")), "node")
+    sizes = measured.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("many"), F.sum("_chars").alias("chars"))
+    need = F.greatest(F.col("many") / BLOCK, F.col("chars") / BLOCK_CHARS)
+    mixed = sizes.groupBy("entry").agg(F.sum(F.when(need <= 1, F.col("many"))).alias("mixed"), F.sum(F.when(need <= 1, F.col("chars"))).alias("mixed_chars"))
+    own = F.when(need > 1, F.col("label"))
+    shared = F.greatest(F.col("mixed") / BLOCK, F.col("mixed_chars") / BLOCK_CHARS)
+    deal = F.greatest(F.ceil(F.when(own.isNotNull(), need).otherwise(shared)), F.lit(1)).alias("deal")
     kinds = sizes.join(mixed, "entry").select("entry", "label", own.alias("own"), deal)
     by = F.when(F.col("own").isNotNull(), F.xxhash64("node")).otherwise(F.xxhash64("label"))
     block = F.xxhash64("entry", F.coalesce("own", F.lit(-1)), F.pmod(by, "deal")).alias("block")

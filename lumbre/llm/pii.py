@@ -14,7 +14,6 @@ carried along.
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.llm.secret_scan import SPANS
+from lumbre.llm.workers import forget, held
 
 # The forms that are always reported, in the order in which they are listed.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -340,7 +340,6 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     return trained([each for t in texts for each in examples(t)])
 
 
-@lru_cache(maxsize=2)
 def _field(weights: tuple) -> Field:
     return Field({name: list(values) for name, values in weights})
 
@@ -363,7 +362,7 @@ def spans_of(weights: dict[str, list[float]], text: Column) -> Column:
     frozen = tuple((name, tuple(values)) for name, values in sorted(weights.items()))
 
     def find(texts):
-        field = _field(frozen) if frozen else None
+        field = held(_field, frozen) if frozen else forget()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in texts:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t, field)] for t in batch.to_pylist()]

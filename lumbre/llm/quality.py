@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumbre.llm.workers import forget
 from lumbre.storage import cut_lineage
 
 # The limits and characters of the fixed rules.
@@ -87,6 +88,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without texts, plus a struct ``_counts`` of the numbers in ``COUNTS``."""
 
     def count(texts):
+        forget()
         for batch in texts:
             rows = np.array([counts_of(t) for t in batch.to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], list(COUNTS))

@@ -21,6 +21,11 @@ def held(make: Callable, *given):
     return _held[key]
 
 
+def forget() -> None:
+    """For an operator that keeps nothing itself: what an earlier one left in this worker goes."""
+    _held.clear()
+
+
 class Memory(dict):
     """Results of a function, ``limit`` bytes at most: half of them new; a full half becomes the old one, and what is used again comes back.
 

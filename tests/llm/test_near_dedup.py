@@ -163,6 +163,22 @@ def test_chain_in_a_large_entry_is_one_class(spark):
     assert len({want[i] for i in order[:40]}) == 1 and {i: label.get(i, i) for i in want} == want
 
 
+def test_blocks_by_characters_tie_the_same(spark, monkeypatch):
+    """Blocks of a few texts, and texts longer than a block, still meet each other."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(204)]
+    texts = [base, *(edited(rng, base, 7).split() for _ in range(30)), *([f"o{k}_{i}" for i in range(60)] for k in range(20))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(N, "BLOCK_CHARS", 1500)
+    parts = spark.createDataFrame([(1, i, i) for i, _ in rows], "entry long, node long, label long")
+    links = N.linked_in_blocks(parts, spark.createDataFrame(rows, "node long, _text string")).collect()
+    want, found = classes(rows), {i: i for i, _ in rows}
+    for a, b in sorted((r["a"], r["b"]) for r in links):
+        low, high = sorted((found[a], found[b]))
+        found = {i: low if x == high else x for i, x in found.items()}
+    assert found == want
+
+
 def test_forest_ties_what_brute_force_ties():
     rng = random.Random(12)
     rows = sorted({d[1]: d for d in corpus(rng)}.values())
