@@ -7,8 +7,8 @@ and covariance.  Distances fall into fine classes, and a step adds up counts and
 over one narrow row per document, reduced in every task before the shuffle; the nearest classes are then added up per
 group.  Two starts (medians with quantile ranges, plain moments) are followed, the smaller determinant wins.
 
-Groups of fewer than ``LEAST_ROWS`` documents are taken together by language, languages that are still too small with each other; what is then
-too small is judged by the fixed limits only.  Null texts have no words.  Null or empty languages and sources are one value.  Documents without words
+Groups of fewer than ``LEAST_ROWS`` documents with words are taken together by language; where that is still too few, they are judged by the estimate over all
+documents.  So every document with words gets a verdict.  Null texts have no words.  Null or empty languages and sources are one value.  Documents without words
 have no statistics and fail the fixed limits.  Texts are read whole.  Repeated rows are judged alike, each by itself.
 Columns other than text, language and source are only carried along.  An empty table gives no rows.
 """
@@ -36,11 +36,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SUBSET = 0.75
 STEPS = 5
-LEAST_ROWS = 100
-#: Share of normal documents that may be rejected; so small because real statistics have longer tails than normal ones.
-TAIL = 1e-9
-#: Differences below which a statistic says nothing, in the units of ``vector``; added to its spread.
-FLOORS = (0.3, 0.06, 0.3, 0.15, 0.15)
+#: Documents that an estimate in five dimensions needs.
+LEAST_ROWS = 25
+#: Share of normal documents that may be rejected.
+TAIL = 0.001
+#: What a statistic varies by between documents of one kind, in the units of ``vector``; added to its spread.
+FLOORS = (0.2, 0.04, 0.15, 0.15, 0.12)
 SIZE = len(FLOORS)
 PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 #: Classes of distance per doubling, and of statistics per unit.
@@ -143,20 +144,15 @@ CUTOFF = chi2_at(1 - TAIL, SIZE)
 
 
 def strata(rows: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """``_lang, _source, _stratum``: the group that a language and source are judged in; null where all are too small."""
+    """``_lang, _source, _stratum``: the group that a language and source are judged in; ``all`` stands for all documents."""
     sizes = rows.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"))
-    large = F.col("_n") >= least
-    rest = F.when(~large, F.col("_n"))
-    by_lang = F.sum(rest).over(W.partitionBy("_lang"))
-    pooled = sizes.withColumn("_of_lang", by_lang)
-    left = F.when(~large & (F.col("_of_lang") < least), F.col("_n"))
-    left_over = pooled.agg(F.sum(left).alias("_left"))
-    return pooled.crossJoin(F.broadcast(left_over)).select(  # a single row
+    small = sizes.filter(F.col("_n") < least).groupBy("_lang").agg(F.sum("_n").alias("_of_lang"))
+    return sizes.join(small, "_lang", "left").select(
         "_lang",
         "_source",
-        F.when(large, F.concat_ws("\x00", F.lit("own"), "_lang", "_source"))
+        F.when(F.col("_n") >= least, F.concat_ws("\x00", F.lit("own"), "_lang", "_source"))
         .when(F.col("_of_lang") >= least, F.concat_ws("\x00", F.lit("lang"), "_lang"))
-        .when(F.col("_left") >= least, F.lit("rest"))
+        .otherwise("all")
         .alias("_stratum"),
     )
 
@@ -246,7 +242,7 @@ def estimated(fitted: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns to ``carry``, the counts, ``base_failed``, ``distance`` (null without a verdict of the method) and ``kept``, one row per row."""
+    """``key``, the columns to ``carry``, the counts, ``base_failed``, ``distance`` (null without words) and ``kept``, one row per row."""
     given = docs.select(
         F.col(key).alias("_key"),
         F.struct(F.lit(0).alias("_none"), *carry).alias("_carried"),
@@ -257,7 +253,10 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     rows = cut_lineage(measured(given, "_text").select("*", *vector()))
     grouped = strata(rows.filter("_counts.n_words > 0"), least)
     placed = cut_lineage(rows.join(grouped, ["_lang", "_source"], "left"))
-    fitted = placed.filter("_counts.n_words > 0 and _stratum is not null").select("_stratum", *(f"_v{i}" for i in range(SIZE)))
+    worded = placed.filter("_counts.n_words > 0").select("_stratum", *(f"_v{i}" for i in range(SIZE)))
+    fitted = worded.filter("_stratum <> 'all'")
+    if not worded.filter("_stratum = 'all'").isEmpty():
+        fitted = fitted.unionByName(worded.withColumn("_stratum", F.lit("all")))
     scored = placed.join(estimated(fitted), "_stratum", "left").withColumn("_distance", F.when(F.col("_counts.n_words") > 0, distance()))
     outlying = F.coalesce(F.col("_distance") > CUTOFF, F.lit(False))
     return scored.select(

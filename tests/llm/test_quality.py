@@ -86,16 +86,53 @@ def test_outliers_equal_brute_force(table):
     want = brute_force(rows)
     found = {r["doc_id"]: r for r in Q.judged(table(rows)).collect()}
     assert all(abs(found[i]["distance"] - d) <= 1e-6 * max(1, d) for i, d in want.items())
-    assert all(found[i]["kept"] == (i % 10 != 0) for i in want)  # the junk goes, nothing else
+    assert not any(found[i]["kept"] for i in want if i % 10 == 0)  # the junk goes, hardly anything else
+    assert sum(found[i]["kept"] for i in want if i % 10) >= 0.98 * 810
+
+
+def test_junk_of_every_kind_goes(table):
+    """Each statistic alone is enough: repeated lines, signs, word length, length, repeated words."""
+    rng = random.Random(21)
+    clean = [document(i, ". ".join(words(rng, rng.randint(8, 14)) + ("\n" if k % 3 == 2 else "") for k in range(rng.randint(6, 40))), "en", f"s{i % 3}") for i in range(600)]
+    plain = words(rng, 150)
+    junk = {
+        "lines": "\n".join([words(rng, 3)] * 8 + [words(rng, 30) for _ in range(4)]),
+        "signs": " ".join(f"{w} {rng.choice('#*$%&|<>')}" for w in plain.split()),
+        "long words": " ".join("".join(rng.choice("abcdefg") for _ in range(60)) for _ in range(150)),
+        "length": words(rng, 200_000),
+        "repeated words": " ".join([words(rng, 4)] * 6 + [words(rng, 40)]),
+    }
+    rows = clean + [document(10_000 + i, t, "en", f"s{i % 3}") for i, t in enumerate(junk.values())]
+    found = {r["doc_id"]: r for r in Q.judged(table(rows)).collect()}
+    assert not any(found[10_000 + i]["kept"] or found[10_000 + i]["base_failed"] for i in range(len(junk)))
+    assert sum(found[i]["kept"] for i in range(600)) >= 0.98 * 600
+
+
+def test_labelled_documents(spark, sf_dir):
+    """Low quality goes, high quality stays, as far as the fixed limits have not decided."""
+    found = Q.judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("not base_failed")
+    kept = {r["quality"]: r["kept"] for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1] >= 0.97 and kept[0] <= 0.1
 
 
-def test_small_groups_are_judged_together_or_not_at_all(table):
+def test_small_groups_are_judged_together(table):
     rng = random.Random(9)
     few = [document(i, words(rng, 100, i == 0), "en", f"s{i % 40}") for i in range(200)]
-    found = {r["doc_id"]: r["kept"] for r in Q.judged(table(few)).collect()}
-    assert found == {i: i != 0 for i in range(200)}
+    found = {r["doc_id"]: r for r in Q.judged(table(few)).collect()}
+    assert not found[0]["kept"] and sum(r["kept"] for r in found.values()) >= 195
+    assert all(r["distance"] is not None for r in found.values())
+
+
+def test_what_is_left_over_is_judged_with_all_documents(table):
+    rng = random.Random(10)
+    rows = [document(i, words(rng, 100), "en", f"s{i % 2}") for i in range(200)]
+    rows += [document(1000 + i, words(rng, 100, i == 0), "fr", "s") for i in range(20)]
+    found = {r["doc_id"]: r for r in Q.judged(table(rows)).collect()}
+    assert not found[1000]["kept"] and all(found[1000 + i]["kept"] for i in range(1, 20))
     alone = [document(i, words(rng, 100, i == 0), "fr", "s") for i in range(20)]
-    assert all(r["kept"] and r["distance"] is None for r in Q.judged(table(alone)).collect())
+    found = {r["doc_id"]: r for r in Q.judged(table(alone)).collect()}
+    assert not found[0]["kept"] and all(found[i]["kept"] for i in range(1, 20))
+    assert [r["kept"] for r in Q.judged(table(rows[:1])).collect()] == [True]
 
 
 def test_fixed_limits_and_odd_rows(odd, table):
