@@ -4,7 +4,9 @@ The field scores whole candidate segments (a run of up to ``LONGEST`` tokens and
 how many digits, which signs, whether a checksum holds, what stands before it.  A dynamic programme over the ends of segments,
 with that bound on their length, finds boundaries and types jointly.  Weights are trained by conditional likelihood on a bounded
 sample: stretches around fixed-form hits of ``SAMPLE`` documents, the same hits written in other ways (without the plus sign,
-in words, in groups), and stretches of as many documents without hits.  The same table gives the same weights.
+in words, in groups), and stretches of as many documents without hits.  Documents longer than ``SAMPLE_CHARS`` are not drawn; of one document the first
+``STRETCHES`` stretches serve, if they have ``STRETCH_CHARS`` characters, ``EXAMPLE_TOKENS`` tokens and entities of ``LONGEST`` tokens at most.  These bounds
+are of the training sample alone.  The same table gives the same weights.
 
 Spans of the field are added where they do not overlap fixed ones, which always stay.  A table without hits trains nothing, and only
 fixed forms are found.  Nulls and empty texts have no spans.  Texts are read whole; only stretches around digits and signs of
@@ -13,6 +15,7 @@ carried along.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"crf_{kind}" for kind in BASE))
 
-LONGEST = 12
+#: Tokens of an entity at most; a bracketed sign or word is one token.
+LONGEST = 16
 #: Documents with hits and as many without, from which the field is trained.
 SAMPLE = 40
 #: Characters of context on both sides of what may be an entity.
@@ -40,10 +44,10 @@ AROUND = 32
 #: How much better than no entity a segment must score to be added.
 MARGIN = 1.0
 ROUNDS, FIRST_PACE, PENALTY = 60, 0.1, 0.0005
-#: Longer stretches are no training examples.
-EXAMPLE_TOKENS = 40
+#: Bounds of the training sample.
+SAMPLE_CHARS, STRETCHES, STRETCH_CHARS, EXAMPLE_TOKENS = 20_000, 20, 600, 48
 
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+TOKEN = re.compile(r"\[\.\]|[\[(](?:at|dot|AT|DOT)[\])]|[^\W_]+|[^\w\s]|_")
 #: What may be part of an entity: digits, and the signs and words of addresses.
 TRIGGER = re.compile(r"[0-9]{2,}|@|[(\[](?:at|AT)[)\]]|\s(?:dot|DOT)\s")
 CUES = {
@@ -142,7 +146,7 @@ def features(text: str, start: int, end: int, tokens: int, before: str) -> list[
     if numbers and 13 <= len(digits) <= 19:
         names.append("luhn" if luhn(digits) else "noluhn")
     if numbers and part.count(".") == 3 and len(digits) <= 12:
-        octets = part.split(".")
+        octets = part.replace("[.]", ".").split(".")
         names.append("octets" if all(o.isdigit() and small(o) for o in octets) else "nooctets")
     if numbers and 9 <= len(digits) <= 15:
         names.append("groups" + "-".join(str(len(g)) for g in re.findall("[0-9]+", part)[-3:]))
@@ -174,6 +178,12 @@ class Lattice:
                 self.names[last, length] = features(text, start, end, length, before)
 
 
+    def segment(self, start: int, end: int) -> tuple[int, int]:
+        """Last token and number of tokens between two places."""
+        inside = [i for i, (a, b) in enumerate(self.tokens) if a < end and start < b]
+        return (inside[-1], len(inside)) if inside else (-1, 0)
+
+
 class Field:
     """Weights per type (0: no entity, one token) and feature."""
 
@@ -216,8 +226,15 @@ class Field:
 def rewritten(kind: str, part: str) -> list[str]:
     """The same entity as people also write it."""
     if kind == "email":
-        name, _, host = part.partition("@")
-        return [f"{name} at {host.replace('.', ' dot ')}", f"{name} (at) {host}", f"{name} [at] {host.replace('.', ' [dot] ')}"]
+        forms = []
+        letters = re.sub("[0-9]+", "x", part)
+        name, _, host = letters.partition("@")
+        first, short = re.split("[._-]", name)[0] or name, ".".join(host.split(".")[-2:])
+        for address in (part, letters, f"{first}@{short}", f"{name}@{short}"):  # without digits and with fewer parts, too
+            name, _, host = address.partition("@")
+            dots = [host.replace(".", dot) for dot in (" dot ", " [dot] ", "[.]", " (dot) ")]
+            forms += [f"{name} at {dots[0]}", f"{name} (at) {host}", f"{name} (at) {dots[0]}", f"{name} [at] {dots[1]}", f"{name}[at]{dots[2]}", f"{name} (at) {dots[3]}"]
+        return forms
     if kind == "phone":
         local = re.sub(r"^\+[0-9]{1,3}\s*", "", part)
         return [local, local.replace("(", "").replace(") ", "-"), local.replace("(", "").replace(") ", ".").replace("-", ".")]
@@ -232,8 +249,8 @@ def examples(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Labelled stretches of a text, as it is and with its entities written otherwise."""
     labelled = []
     spans = base_spans(text)
-    for start, end in stretches(text)[:20]:
-        if end - start > 600:
+    for start, end in stretches(text)[:STRETCHES]:
+        if end - start > STRETCH_CHARS:
             continue
         inside = sorted((a - start, b - start, k) for k, a, b in spans if start <= a and b <= end)
         if any(x[1] > y[0] for x, y in zip(inside, inside[1:], strict=False)):
@@ -256,6 +273,8 @@ def examples(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> dict[str, list[float]]:
     """Weights by conditional likelihood; the sums over all segmentations go over all stretches at once."""
     lattices = [(Lattice(part), spans) for part, spans in labelled if 0 < len(TOKEN.findall(part)) <= EXAMPLE_TOKENS]
+    # A stretch with an entity that cannot be one segment teaches nothing, least of all that it is no entity.
+    lattices = [(lattice, spans) for lattice, spans in lattices if all(lattice.segment(a, b) in lattice.names for _, a, b in spans)]
     if not any(spans for _, spans in lattices):
         return {}
     names = sorted({n for lattice, _ in lattices for each in lattice.names.values() for n in each})
@@ -271,11 +290,9 @@ def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> dict[str,
     for w, (lattice, spans) in enumerate(lattices):
         covered = set()
         for kind, a, b in spans:
-            inside = [i for i, (x, y) in enumerate(lattice.tokens) if x < b and a < y]
-            row = at_row.get((w, inside[-1], len(inside)))
-            if row is not None:
-                gold[row, BASE.index(kind) + 1] = 1
-                covered.update(inside)
+            last, length = lattice.segment(a, b)
+            gold[at_row[w, last, length], BASE.index(kind) + 1] = 1
+            covered.update(range(last + 1 - length, last + 1))
         for i in range(len(lattice.tokens)):
             if i not in covered:
                 gold[at_row[w, i, 1], 0] = 1
@@ -331,7 +348,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     order = [F.xxhash64("key", "text"), "key"]
     hit = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{13}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]")
-    short = given.filter(F.length("text") <= 20_000)
+    short = given.filter(F.length("text") <= SAMPLE_CHARS)
     texts = [
         row["text"]
         for wanted in (hit, ~hit & F.col("text").rlike("[0-9]{2}"))
@@ -344,15 +361,29 @@ def _field(weights: tuple) -> Field:
     return Field({name: list(values) for name, values in weights})
 
 
+def joined_intervals(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def all_spans(text: str, field: Field | None) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by kind and start."""
     found = base_spans(text)
     if field:
-        taken = [(a, b) for _, a, b in found]
+        starts, ends = joined_intervals([(a, b) for _, a, b in found])
         for start, end in stretches(text):
             for kind, a, b in field.entities(text[start:end]):
                 a, b = a + start, b + start
-                if all(b <= x or y <= a for x, y in taken):
+                before = bisect_left(starts, b)  # of the fixed spans that begin before the end, the last one reaches furthest
+                if not before or ends[before - 1] <= a:
                     found.append((f"crf_{kind}", a, b))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +93,63 @@ def test_the_field_adds_other_spellings(weights):
     assert pii.all_spans("in 2024 we saw 1,234 of 56.78 and version 4.0", field) == []
 
 
+def test_rewritten_entities_are_found(spark, sf_dir, weights):
+    """Held out: hits of other documents, written as the fixed forms do not know them; recall by kind."""
+    field = pii.Field(weights)
+    rows = spark.read.parquet(f"{sf_dir.replace('sf0.01', 'sf0.1')}/documents.parquet").filter("doc_id >= 1000 and doc_id < 4000").collect()
+    hits, found = Counter(), Counter()
+    for r in rows:
+        for part, spans in pii.examples(r["text"]):
+            if len(spans) == 1 and not pii.base_spans(part):
+                kind, a, b = spans[0]
+                hits[kind] += 1
+                found[kind] += any(k == f"crf_{kind}" and x < b and a < y and abs(x - a) + abs(y - b) <= 2 for k, x, y in pii.all_spans(part, field))
+    assert set(hits) == set(pii.BASE)
+    assert all(found[k] >= 0.9 * hits[k] > 20 for k in hits), (hits, found)
+
+
+@pytest.mark.parametrize("written,kind", [("10[.]0[.]0[.]1", "ip"), ("192[.]168[.]1[.]77", "ip"), ("joe [at] mail [dot] com", "email"), ("first.last [at] mail [dot] example [dot] com", "email"), ("a.b (at) ex.org", "email")])
+def test_bracketed_forms(weights, written, kind):
+    text = f"please write to {written} for more"
+    assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, pii.Field(weights))] == [(f"crf_{kind}", written)]
+
+
+def test_decoding_equals_enumeration():
+    """The best segmentation against all segmentations of short stretches, one by one."""
+    rng = np.random.default_rng(3)
+    for text in ("12 (34", "a@b", "1.2", "[at] 7 x", "+1 23"):
+        lattice = pii.Lattice(text)
+        names = sorted({n for each in lattice.names.values() for n in each})
+        for _ in range(20):
+            field = pii.Field({n: rng.normal(size=len(pii.BASE) + 1).tolist() for n in names})
+            scores, size = field.scores(lattice), len(lattice.tokens)
+            best = None
+            for cuts in itertools.product([0, 1], repeat=size - 1):
+                ends = [i for i, c in enumerate([*cuts, 1]) if c]
+                segments = [(e, e - s) for s, e in zip([-1, *ends], ends, strict=False)]
+                for types in itertools.product(range(len(pii.BASE) + 1), repeat=len(segments)):
+                    if not any(t == 0 and n > 1 for t, (_, n) in zip(types, segments, strict=True)):
+                        total = sum(scores[at][t] for t, at in zip(types, segments, strict=True))
+                        best = max(best or (total, [], []), (total, segments, types), key=lambda b: b[0])
+            want = []
+            for (last, length), t in zip(best[1], best[2], strict=True):
+                plain = sum(scores[i, 1][0] for i in range(last + 1 - length, last + 1))
+                if t and scores[last, length][t] - plain >= pii.MARGIN:
+                    want.append((pii.BASE[t - 1], lattice.tokens[last + 1 - length][0], lattice.tokens[last][1]))
+            assert field.entities(text) == want
+
+
+def test_added_spans_never_overlap_fixed_ones(weights):
+    field, rng = pii.Field(weights), random.Random(6)
+    parts = ["4111 1111 1111 1111", "1.2.3.4", "a@b.cd", "+1 (555) 010-9999", "(312) 555-0188", "10[.]0[.]0[.]1", "x", ",", "2024"]
+    for _ in range(200):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        spans = pii.all_spans(text, field)
+        fixed = [s for s in spans if s[0] in pii.BASE]
+        assert fixed == sorted(pii.base_spans(text), key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+        assert all(b <= x or y <= a for k, a, b in spans if k not in pii.BASE for _, x, y in fixed)
+
+
 def test_training_is_repeatable(spark, sf_dir, weights):
     assert pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)) == weights
 
