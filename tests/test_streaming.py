@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lumbre.operators import runlog, words
 from lumbre.sources.files import stream_lines
+from lumbre.streaming.joins import first_endings, submissions_with_endings
 from lumbre.streaming.outcomes import reduce_batches, stream_outcomes
+from lumbre.streaming.runs import watched_outcomes
 from lumbre.streaming.tables import (
     PROVIDER,
     append_available,
@@ -112,6 +114,45 @@ def test_polls_after_the_outcome_start_no_new_run(spark, tmp_path):
     assert found == [("a", "success"), ("b", "timeout"), ("c", "timeout")]
 
 
+@pytest.mark.parametrize("batches", [1, 5])
+def test_watched_outcomes_like_batch(spark, tmp_path, batches):
+    """State by run: the same outcomes, each once, however the polls are cut into batches and disordered within the delay."""
+    data = timeline(batches)
+    draw = random.Random(1)
+    data.sort(key=lambda r: r[3] + dt.timedelta(seconds=draw.randrange(50)))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    size = -(-len(data) // batches)
+    for i in range(0, len(data), size):
+        add_file(spark, source, data[i : i + size], POLL)
+        append_available(watched_outcomes(stream_table(stream_session(spark), source), "60 seconds", 1, 300), out)
+    found = [(r.app_name, r.run_no, r.status, r.state, r.end_time) for r in read_appended(spark, out).collect()]
+    now = F.lit(START + dt.timedelta(hours=3) - dt.timedelta(seconds=60))
+    batch = runlog.run_outcomes(spark.read.parquet(source), max_unknown=1, max_wait=300, now=now).filter("app_name <> 'end'")
+    assert sorted(found, key=repr) == sorted(((r.app_name, r.run_no, r.status, r.state, r.end_time) for r in batch.collect()), key=repr)
+    assert len({f[2] for f in found}) == 3
+
+
+def test_a_batch_changes_the_state_of_its_runs_alone(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def at(seconds, run, state, begin=0):
+        return ("a", run, START + dt.timedelta(seconds=begin), START + dt.timedelta(seconds=seconds), state)
+
+    def step(*data):
+        add_file(spark, source, data, POLL)
+        return append_available(watched_outcomes(stream_table(stream_session(spark), source), "1 second", max_wait=300), out)
+
+    step(*(at(0, i, "SUBMITTED") for i in range(50)))
+    assert sum(b.changed for b in step(at(10, 7, "RUNNING"))) == 1  # one run of fifty
+    step(at(20, 7, "COMPLETED"), at(30, 8, "RUNNING"))
+    batches = step(at(5, 9, "COMPLETED"), at(31, 8, "RUNNING"))  # the first poll is later than a second
+    assert sum(b.late for b in batches) == 1
+    step(at(1000, 99, "SUBMITTED", 1000))
+    step(at(1001, 7, "FAILED"), at(1002, 99, "RUNNING", 1000))  # run 7 is over and forgotten
+    found = sorted((r.run_no, r.status) for r in read_appended(spark, out).collect())
+    assert found == [(i, "success" if i == 7 else "timeout") for i in range(50)]
+
+
 def test_a_run_with_very_many_polls_is_small_before_the_shuffle():
     n = 10_000
     batch = pd.DataFrame(
@@ -138,3 +179,55 @@ def test_buckets_follow_late_events(spark, tmp_path):
         update_available(totals.select(F.col("window.start").alias("start"), "n", "total"), out)
     latest = read_latest(spark, out, ["start"]).orderBy("start").collect()
     assert [(r.n, r.total) for r in latest] == [(3, 7.0), (1, 1.0), (1, 1.0)]
+
+
+def test_folders_stay_few_over_many_batches(spark, tmp_path, rows, monkeypatch):
+    from lumbre.streaming import tables
+
+    monkeypatch.setattr(tables, "FOLDERS", 3)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(9):
+        add_file(spark, source, [(f"w{i % 4} all",)], "line string")
+        update_available(words.word_count(stream_table(stream_session(spark), source)), out, ["word"])
+        assert len(tables.numbered(spark, f"{out}/table")) <= 3 and len(tables.numbered(spark, f"{out}/whole")) <= 1
+        assert rows(read_latest(spark, out, ["word"])) == rows(words.word_count(spark.read.parquet(source)))
+
+
+def test_a_failed_compaction_leaves_a_right_table(spark, tmp_path, rows, monkeypatch):
+    """A whole table without its mark is not read; folders that it would have replaced are."""
+    from lumbre.streaming import tables
+
+    out = str(tmp_path / "out")
+    for i, data in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 1)])):
+        spark.createDataFrame(data, "word string, n int").write.parquet(f"{out}/table/batch={i}")
+    want = [("a", 2), ("b", 1), ("c", 1)]
+    monkeypatch.setattr(tables, "FOLDERS", 1)
+    read_latest(spark, out, ["word"]).write.parquet(f"{out}/whole/upto=2")
+    assert rows(read_latest(spark, out, ["word"])) == want  # written, nothing deleted yet
+    (tmp_path / "out/whole/upto=2/_SUCCESS").unlink()
+    assert rows(read_latest(spark, out, ["word"])) == want
+    tables.compact(spark, out, ["word"])
+    assert not tables.numbered(spark, f"{out}/table") and rows(read_latest(spark, out, ["word"])) == want
+
+
+def test_submissions_meet_their_endings(spark, tmp_path):
+    """Endings out of order and too late, runs without one, and submissions that come after their ending."""
+    out = str(tmp_path / "out")
+
+    def at(seconds):
+        return START + dt.timedelta(seconds=seconds)
+
+    steps = [
+        ([("a", 1, at(0)), ("b", 1, at(5))], [("c", 1, at(20), "FAILED", 1)]),
+        ([("c", 1, at(15))], [("a", 1, at(30), "COMPLETED", 2), ("a", 1, at(25), "FAILED", 3)]),
+        ([("d", 1, at(400))], [("b", 1, at(305), "COMPLETED", 4), ("x", 1, at(410), "FAILED", 5)]),
+        ([("e", 1, at(1000))], [("d", 1, at(699), "COMPLETED", 6), ("x", 1, at(1010), "FAILED", 7)]),
+    ]
+    for submitted, ended in steps:
+        add_file(spark, str(tmp_path / "s"), submitted, "app_name string, run_no long, started_at timestamp_ntz")
+        add_file(spark, str(tmp_path / "e"), ended, "app_name string, run_no long, ended_at timestamp_ntz, state string, seq long")
+        own = stream_session(spark)
+        met = submissions_with_endings(stream_table(own, str(tmp_path / "s")), stream_table(own, str(tmp_path / "e")), "60 seconds", 300)
+        append_available(met, out)
+    found = {r.app_name: (r.status, r.state, r.duration_seconds) for r in first_endings(read_appended(spark, out)).collect()}
+    assert found == {"a": ("failed", "FAILED", 25.0), "b": ("timeout", None, None), "c": ("failed", "FAILED", 5.0), "d": ("success", "COMPLETED", 299.0)}
