@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbre.functions.cadence import SCHEDULES
-from lumbre.operators.cadence import totals_per_bucket
+from lumbre.operators.cadence import totals_per_bucket, totals_per_tick
 from lumbre.plans.programs import table
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -30,7 +30,15 @@ def cadence_query(schedule: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {f"cadence_{schedule}": cadence_query(schedule) for schedule in SCHEDULES}
+#: A list, a range with steps, days of the month or of the week.
+LISTED = "5,35 8-18/2 1-10,25 * mon-wed"
+
+
+def cadence_cron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(totals_per_tick(table(spark, sf_dir, "events"), "ts", LISTED, F.col("value"), ["event_type"]))
+
+
+QUERIES = {f"cadence_{schedule}": cadence_query(schedule) for schedule in SCHEDULES} | {"cadence_cron": cadence_cron}
 
 
 # ---- the same in SQL ----------------------------------------------------------------------------------------
@@ -64,4 +72,11 @@ SQL = {
     "cadence_monthly_noon": _calendar_sql("day(tick) = 1", 12),
     "cadence_yearly": _calendar_sql("day(tick) = 1 AND month(tick) = 1", 0),
     "cadence_weekdays": _calendar_sql("isodow(tick) <= 5", 9),
+    "cadence_cron": """WITH minutes AS (SELECT unnest(generate_series(date_trunc('day', min(ts)) - INTERVAL 60 DAY, max(ts), INTERVAL 1 MINUTE)) AS tick
+          FROM events),
+        ticks AS (SELECT tick FROM minutes WHERE minute(tick) IN (5, 35) AND hour(tick) IN (8, 10, 12, 14, 16, 18)
+          AND (day(tick) <= 10 OR day(tick) = 25 OR isodow(tick) IN (1, 2, 3))),
+        placed AS (SELECT event_type, value, tick FROM events ASOF JOIN ticks ON ts >= tick)
+        """
+    + bucket_sql("tick", "placed"),
 }
