@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from lumbre.functions.text import in_order, joined_or, pretty_size
 from lumbre.operators import catalog as lookups
 from lumbre.sources.frames import small_frame
 
+T = TypeVar("T")
+
 NO_KEY = "Ninguna"
 NO_INDEX = "Ninguno"
 COUNTS = "tabla string, registros long"
@@ -42,35 +47,63 @@ def row_counts(source, names: Sequence[str]) -> DataFrame:
     return _union(source.spark, branches, COUNTS)
 
 
+#: What is wrong with a table; anything else, such as a lost connection to Spark, ends the job.
+DATA_ERRORS = (PySparkException, Py4JJavaError, OSError)
+
+
+def _told(source, problem: Exception) -> str:
+    """The text of a table's problem, if it is one: where Spark itself has ended, no table is to blame."""
+    if source.spark.sparkContext._jsc.sc().isStopped():
+        raise problem
+    return str(problem)
+
+
 def _attempt(source, name: str, execute: bool):
     try:
         counted = source.row_count(name).select(F.lit(name).alias("tabla"), "registros")
         return name, (counted.first() if execute else counted), None
-    except Exception as problem:  # whatever is wrong with one table, the others go on
-        return name, None, str(problem)
+    except DATA_ERRORS as problem:
+        return name, None, _told(source, problem)
 
 
-def isolated_counts(source, names: Sequence[str], execute: bool = False, threads: int = 8):
-    """Row counts and errors with every table on its own: ``(counts, errors)``.
+def isolated_counts(source, names: Sequence[str], execute: bool = True, threads: int = 8):
+    """Row counts and errors with every table on its own: ``(counts, errors, readable)``, the latter two as lists.
 
-    Tables are always resolved one by one.  With ``execute`` they are also counted one by one (as concurrent
-    jobs, one number back from each), so that a table whose data cannot be read is skipped like one whose schema
-    cannot.
+    Tables are resolved and counted one by one (as concurrent jobs, one number back from each), so that a table whose data cannot be
+    read is skipped like one whose schema cannot.  Without ``execute`` they are only resolved, and counted in one job later on.
     """
     with ThreadPoolExecutor(threads) as pool:
         tried = list(pool.map(lambda name: _attempt(source, name, execute), names))
     good = [counted for _, counted, problem in tried if problem is None]
     counts = small_frame(source.spark, COUNTS, good) if execute else _union(source.spark, good, COUNTS)
-    errors = small_frame(source.spark, ERRORS, [(n, problem) for n, _, problem in tried if problem is not None])
-    readable = [name for name, _, problem in tried if problem is None]
-    return counts, errors, readable
+    errors = [(n, problem) for n, _, problem in tried if problem is not None]
+    return counts, errors, [name for name, _, problem in tried if problem is None]
 
 
-def profile(source, schema: str = "public", compat: bool = False, execute: bool = False) -> Profile:
-    """The statistics record of every table of ``source``; unreadable tables are reported and skipped."""
-    counts, errors, names = isolated_counts(source, source.names(), execute)
-    sizes = source.sizes(names)
-    cat = source.catalog(names)
+def looked_up(source, read: Callable[[Sequence[str]], T], names: Sequence[str]) -> tuple[T, list[tuple[str, str]], list[str]]:
+    """``read(names)``, and if that fails, of the names that can be read by themselves: ``(result, errors, readable)``."""
+    try:
+        return read(names), [], list(names)
+    except DATA_ERRORS as problem:
+        _told(source, problem)
+    errors, readable = [], []
+    for name in names:
+        try:
+            read([name])
+            readable.append(name)
+        except DATA_ERRORS as problem:
+            errors.append((name, _told(source, problem)))
+    return read(readable), errors, readable
+
+
+def profile(source, schema: str = "public", compat: bool = False, execute: bool = True) -> Profile:
+    """The statistics record of every table of ``source``; a table that fails at any step is reported and skipped, the others go on."""
+    counts, failed, names = isolated_counts(source, source.names(), execute)
+    sizes, without_size, names = looked_up(source, source.sizes, names)
+    cat, without_catalog, names = looked_up(source, source.catalog, names)
+    errors = small_frame(source.spark, ERRORS, [*failed, *without_size, *without_catalog])
+    if without_size or without_catalog:
+        counts = counts.filter(F.col("tabla").isin(names))
     columns = (
         lookups.table_columns(cat.columns, schema)
         .groupBy("tabla")

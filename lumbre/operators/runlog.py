@@ -211,8 +211,20 @@ def job_durations(outcomes: DataFrame, job: Sequence[str] = ("app_name",)) -> Da
     return totals.join(ranked.select(*job, *seconds), list(job), "left")
 
 
-def run_records(outcomes: DataFrame, job_name: Column, app_name: Column, parameters: dict[str, str]) -> DataFrame:
-    """Run records of finished runs: 0 is the exit code of a success, 1 of anything else."""
+def run_records(
+    outcomes: DataFrame,
+    job_name: Column,
+    app_name: Column,
+    parameters: dict[str, str],
+    results: DataFrame | None = None,
+    run: Sequence[str] = ("app_name", "run_no"),
+) -> DataFrame:
+    """Run records of finished runs: 0 is the exit code of a success, 1 of anything else.
+
+    ``results`` (``run..., result``, as ``extract_result`` gives it) fills ``pi_value``; a run without a result has none.
+    """
+    if results is not None:
+        outcomes = outcomes.join(results.select(*run, F.col("result").alias("pi_value")), list(run), "left")
     pairs = [F.lit(text) for item in sorted(parameters.items()) for text in item]
     return outcomes.filter(F.col("status").isin(*TERMINAL)).select(
         job_name.alias("job_name"),
@@ -224,5 +236,6 @@ def run_records(outcomes: DataFrame, job_name: Column, app_name: Column, paramet
         "start_time",
         "end_time",
         "elapsed_seconds",
+        *(["pi_value"] if results is not None else []),
         F.create_map(*pairs).alias("parameters"),
     )

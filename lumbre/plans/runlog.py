@@ -16,6 +16,7 @@ from lumbre.storage import new_folder
 MAX_UNKNOWN = 2
 MAX_WAIT_SECONDS = 3 * 24 * 3600
 
+# States as they are polled, and the phrases in the lines below.
 STATES = {"signup": "SUBMITTED", "view": "RUNNING", "click": "UNKNOWN", "purchase": "COMPLETED", "error": "FAILED"}
 # Lines without content, of every kind of white space.
 BLANKS = ("   ", "\t", "\r", "\xa0")
@@ -71,6 +72,13 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run printed as its result; only lines with a result are told which run they belong to."""
+    printed = event_lines(spark, sf_dir).filter(F.col("line").contains(runlog.RESULT_PHRASE)).drop("run_id")
+    of_run = event_polls(spark, sf_dir).select("app_name", "run_no", F.col("event_id").alias("line_no"))
+    return runlog.extract_result(of_run.join(printed, "line_no"), ["app_name", "run_no"])
+
+
 def log_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.relevant_lines(event_lines(spark, sf_dir))
 
@@ -127,6 +135,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         job_name(F.col("app_name")),
         run_key(job_name(F.col("app_name")), F.col("start_time")),
         {"max_unknown": str(MAX_UNKNOWN), "max_wait": str(MAX_WAIT_SECONDS)},
+        run_results(spark, sf_dir),
     )
     append_run_records(records, path)
     return spark.read.parquet(path).select(
@@ -276,11 +285,13 @@ SQL = {
                CAST(quantile_disc(us, 0.95) AS DOUBLE) / 1000000 AS p95_seconds,
                {sql_time("min(started)")} AS first_start, {sql_time("max(ended)")} AS last_end
         FROM took GROUP BY app_name""",
-    "run_records": f"""WITH {outcome_ctes()}
+    "run_records": f"""WITH {outcome_ctes()}, {LINES},
+        printed AS (SELECT app_name, run_no, arg_min(line, line_no) AS line FROM polls JOIN lines ON line_no = event_id
+          WHERE contains(line, 'Pi is roughly') GROUP BY ALL)
         SELECT 'Daily Job_' || app_name AS job_name, 'daily-job-' || app_name || '-' || started // 1000000 AS app_name,
                status, state, CAST(CASE status WHEN 'success' THEN 0 ELSE 1 END AS INTEGER) AS exit_code, {_SPAN},
-               CAST(NULL AS DOUBLE) AS pi_value, '{MAX_WAIT_SECONDS}' AS max_wait
-        FROM outcomes WHERE status IN ('success', 'failed', 'timeout')""",
+               TRY_CAST(trim(string_split(line, 'roughly')[2], {WHITE_TEXT}) AS DOUBLE) AS pi_value, '{MAX_WAIT_SECONDS}' AS max_wait
+        FROM outcomes LEFT JOIN printed USING (app_name, run_no) WHERE status IN ('success', 'failed', 'timeout')""",
     "run_keys": """SELECT event_id, replace(replace(lower('Daily Job_' || user_id), ' ', '-'), '_', '-') || '-'
                || epoch_us(ts) // 1000000 AS run_key FROM events WHERE event_type = 'signup'""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumbre.functions.text import pretty_size
 from lumbre.operators import catalog as lookups
-from lumbre.operators import keys, profile
+from lumbre.operators import keys, profile, references
 from lumbre.plans import schema as facts
 from lumbre.sources.catalog import primary_key_definition, primary_key_name
 from lumbre.sources.sinks import append_snapshot
@@ -69,6 +69,15 @@ def fk_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.union_all(checks)
 
 
+SEARCHED = ("nation", "region", "customer", "supplier", "orders")
+
+
+def fk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of five tables whose values all occur in another column."""
+    source, _ = _opened(spark, sf_dir)
+    return references.inclusions({table: source.read(table) for table in SEARCHED})
+
+
 def full_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole record, sizes included."""
     return profile.profile(_folder(spark, sf_dir)).stats
@@ -109,6 +118,7 @@ QUERIES = {
     "table_columns": table_columns,
     "pk_verify": pk_verify,
     "fk_verify": fk_verify,
+    "fk_search": fk_search,
     "table_stats": table_stats,
     "top_tables": top_tables,
     "stats_summary": stats_summary,
@@ -187,6 +197,25 @@ SELECT '{key.table}' AS tabla, '{label}' AS llave_foranea, count(*) AS registros
 FROM (SELECT ({missing}) AS missing, {found} AS found FROM {key.table} child)"""
 
 
+# Columns that may refer to each other, by kind.
+_COMPARABLE = (
+    ("nation.n_nationkey", "nation.n_regionkey", "region.r_regionkey", "customer.c_custkey", "customer.c_nationkey",
+     "supplier.s_suppkey", "supplier.s_nationkey", "orders.o_orderkey", "orders.o_custkey"),
+    ("nation.n_name", "region.r_name", "customer.c_name", "customer.c_mktsegment", "supplier.s_name",
+     "orders.o_orderstatus", "orders.o_orderpriority"),
+    ("customer.c_acctbal", "supplier.s_acctbal", "orders.o_totalprice"),
+    ("orders.o_orderdate",),
+)
+
+
+def _inclusion(a: str, b: str) -> str:
+    (s, x), (t, y) = a.split("."), b.split(".")
+    return f"""SELECT '{s}' AS tabla, '{x}' AS columna, '{t}' AS tabla_referida, '{y}' AS columna_referida,
+        (SELECT count(DISTINCT {x}) FROM {s}) AS valores, (SELECT count(DISTINCT {y}) FROM {t}) AS valores_referidos
+        WHERE EXISTS (SELECT 1 FROM {s} WHERE {x} IS NOT NULL)
+          AND NOT EXISTS (SELECT 1 FROM {s} WHERE {x} IS NOT NULL AND {x} NOT IN (SELECT {y} FROM {t} WHERE {y} IS NOT NULL))"""
+
+
 _SIZE_TEXT = """
 CASE WHEN b < 10240 THEN b || ' bytes'
      WHEN b // 512 < 20479 THEN (b // 512 + 1) // 2 || ' kB'
@@ -210,6 +239,7 @@ SQL = {
         _pk_check(t, columns) for t, columns in [*facts.PRIMARY.items(), *facts.UNDECLARED_CANDIDATES]
     ),
     "fk_verify": " UNION ALL ".join(_fk_check(k) for k in (*facts.FOREIGN, facts.BROKEN_REFERENCE)),
+    "fk_search": " UNION ALL ".join(_inclusion(a, b) for group in _COMPARABLE for a in group for b in group if a != b),
     "table_stats": STATS + "SELECT * FROM stats",
     "top_tables": f"WITH {COUNTS} SELECT * FROM counts ORDER BY registros DESC, tabla LIMIT 5",
     "stats_summary": f"""WITH {COUNTS} SELECT count(*) AS encontradas, count(*) AS procesadas,

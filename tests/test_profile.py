@@ -70,11 +70,36 @@ def test_table_whose_data_is_unreadable_is_skipped(spark, folder):
     spark.range(3).coalesce(1).write.parquet(f"{folder}/part.parquet")
     with open(f"{folder}/part.parquet/zzz.parquet", "w") as f:
         f.write("no parquet at all")
-    done = profile.profile(ParquetFolder(spark, folder), execute=True)
+    done = profile.profile(ParquetFolder(spark, folder))
     assert [r.tabla for r in done.errors.collect()] == ["part"]
     assert done.stats.count() == 8
 
 
+@pytest.mark.parametrize("step", ["sizes", "catalog"])
+def test_a_lookup_that_fails_for_one_table_hides_no_other(spark, folder, step):
+    class Partly(ParquetFolder):
+        pass
+
+    def failing(self, names):
+        if "c" in names:
+            raise OSError("no such place")
+        return getattr(ParquetFolder, step)(self, names)
+
+    setattr(Partly, step, failing)
+    done = profile.profile(Partly(spark, folder))
+    assert [tuple(r) for r in done.errors.collect()] == [("c", "no such place")]
+    assert sorted(r.tabla for r in done.stats.collect()) == ["Mixed", "a", "b", "d", "e", "f", "g"]
+
+
+def test_other_failures_are_no_fault_of_a_table(spark, folder):
+    class Lost(ParquetFolder):
+        def row_count(self, name):
+            raise RuntimeError("connection lost")
+
+    with pytest.raises(RuntimeError):
+        profile.profile(Lost(spark, folder))
+
+
 def test_no_tables(spark, tmp_path):
     class Nothing(ParquetFolder):
         def names(self):
