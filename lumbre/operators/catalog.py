@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -99,3 +101,17 @@ def indexes(pg_indexes: DataFrame, schema: str = "public") -> DataFrame:
         F.col("indexname").alias("index_name"),
         F.col("indexdef").alias("index_definition"),
     )
+
+
+def bound(spark: SparkSession, query: str, values: Mapping[str, object], **relations: DataFrame) -> DataFrame:
+    """A SQL query over ``relations``, which it names in braces, with ``values`` for its ``:names``.
+
+    Values are bound, never written into the text, so that no value is taken for SQL, whatever quotes or semicolons it has.
+    """
+    return spark.sql(query, args=dict(values), **relations)
+
+
+# Lookups for one table each, by its bound name.
+COLUMNS_OF = """
+SELECT table_name AS tabla, CAST(ordinal_position AS INT) AS ordinal_position, column_name
+FROM {columns} WHERE table_schema = :schema AND table_name = :tabla"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,27 @@ def fk_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.union_all(checks)
 
 
+# Names as a user may give them; only the first two are tables.
+LOOKED_UP = ("orders", "lineitem", "o'rders", "x'; DROP TABLE orders; --", 'a"b', "")
+
+
+def column_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of tables by their bound names."""
+    source, names = _opened(spark, sf_dir)
+    columns = source.catalog(names).columns
+    found = [lookups.bound(spark, lookups.COLUMNS_OF, {"schema": "public", "tabla": name}, columns=columns) for name in LOOKED_UP]
+    return profile.union_all(found)
+
+
+KEYED = ("orders", "lineitem", "events")
+
+
+def pk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All minimal keys of up to two columns of three tables, found in their rows."""
+    source, _ = _opened(spark, sf_dir)
+    return profile.union_all([keys.minimal_keys(source.read(table), table, 2) for table in KEYED])
+
+
 SEARCHED = ("nation", "region", "customer", "supplier", "orders")
 
 
@@ -119,6 +142,8 @@ QUERIES = {
     "pk_verify": pk_verify,
     "fk_verify": fk_verify,
     "fk_search": fk_search,
+    "pk_search": pk_search,
+    "column_lookup": column_lookup,
     "table_stats": table_stats,
     "top_tables": top_tables,
     "stats_summary": stats_summary,
@@ -216,6 +241,23 @@ def _inclusion(a: str, b: str) -> str:
           AND NOT EXISTS (SELECT 1 FROM {s} WHERE {x} IS NOT NULL AND {x} NOT IN (SELECT {y} FROM {t} WHERE {y} IS NOT NULL))"""
 
 
+# Columns of the searched tables, in their order.
+_KEY_COLUMNS = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split(),
+    "events": "event_id ts user_id event_type value props".split(),
+}
+
+
+def _key_candidates() -> str:
+    sets = [(t, s) for t, columns in _KEY_COLUMNS.items() for n in (1, 2) for s in combinations(columns, n)]
+    return " UNION ALL ".join(
+        f"""SELECT '{t}' AS tabla, [{", ".join(f"'{c}'" for c in s)}] AS cols, (SELECT count(*) FROM (SELECT DISTINCT {", ".join(s)} FROM {t}
+        WHERE {" AND ".join(f"{c} IS NOT NULL" for c in s)})) = (SELECT count(*) FROM {t}) AS holds"""
+        for t, s in sets
+    )
+
+
 _SIZE_TEXT = """
 CASE WHEN b < 10240 THEN b || ' bytes'
      WHEN b // 512 < 20479 THEN (b // 512 + 1) // 2 || ' kB'
@@ -240,6 +282,11 @@ SQL = {
     ),
     "fk_verify": " UNION ALL ".join(_fk_check(k) for k in (*facts.FOREIGN, facts.BROKEN_REFERENCE)),
     "fk_search": " UNION ALL ".join(_inclusion(a, b) for group in _COMPARABLE for a in group for b in group if a != b),
+    "pk_search": f"""WITH candidates AS ({_key_candidates()}), found AS (SELECT * FROM candidates WHERE holds)
+        SELECT tabla, array_to_string(cols, ', ') AS columnas, CAST(len(cols) AS INTEGER) AS n_columnas FROM found f
+        WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.tabla = f.tabla AND len(g.cols) < len(f.cols) AND list_has_all(f.cols, g.cols))""",
+    "column_lookup": f"""WITH {COLUMNS} SELECT tabla, CAST(pos AS INTEGER) AS ordinal_position, col AS column_name FROM cols
+        WHERE tabla IN ('orders', 'lineitem')""",
     "table_stats": STATS + "SELECT * FROM stats",
     "top_tables": f"WITH {COUNTS} SELECT * FROM counts ORDER BY registros DESC, tabla LIMIT 5",
     "stats_summary": f"""WITH {COUNTS} SELECT count(*) AS encontradas, count(*) AS procesadas,
