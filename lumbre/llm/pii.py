@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumbre.llm.secret_scan import SPANS
+from lumbre.llm.secret_scan import SPANS, joined_intervals
 from lumbre.llm.workers import forget, held
 
 # The forms that are always reported, in the order in which they are listed.
@@ -361,19 +361,6 @@ def _field(weights: tuple) -> Field:
     return Field({name: list(values) for name, values in weights})
 
 
-def joined_intervals(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Starts and ends of what the spans cover, in order and apart from each other."""
-    starts: list[int] = []
-    ends: list[int] = []
-    for a, b in sorted(spans):
-        if ends and a < ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-    return starts, ends
-
-
 def all_spans(text: str, field: Field | None) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by kind and start."""
     found = base_spans(text)

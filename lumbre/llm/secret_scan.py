@@ -6,11 +6,12 @@ capitals with digits, base 64) has its own threshold, since an alphabet of 16 ca
 An allow-list then suppresses strings that are known to be harmless.
 
 Nulls and empty texts have no secrets.  Texts are scanned whole, whatever their length; the memory needed is that of
-the text and its spans.  Repeated rows are scanned and returned as often as they occur.
+the text and its spans.  Repeated rows are scanned and returned as often as they occur.  An empty table gives no rows.
 """
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,6 +95,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def joined_intervals(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def free_parts(start: int, end: int, taken: tuple[list[int], list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """The parts of a span that are not taken, of at least so many characters."""
+    starts, ends = taken
+    at = bisect_right(ends, start)
+    while at < len(starts) and starts[at] < end:
+        if starts[at] - start >= least:
+            yield start, starts[at]
+        start = max(start, ends[at])
+        at += 1
+    if end - start >= least:
+        yield start, end
+
+
 class Scanner:
     """Finds all spans of a text; holds the compiled forms."""
 
@@ -105,18 +132,16 @@ class Scanner:
         return any(form.fullmatch(candidate) for form in self.allowed)
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """``(kind, start, end)`` by start and kind; an entropy span never overlaps one found before it."""
+        """``(kind, start, end)`` by start and kind; an entropy span is cut to what no kind before it has, a window of it at least."""
         found = base_spans(text)
-        taken = [(a, b) for _, a, b in found]
         for kind, run in self.classes:
+            taken = joined_intervals([(a, b) for _, a, b in found])
             for candidate in run.finditer(text):
                 a, b = candidate.span()
                 if self.suppressed(candidate.group()):
                     continue
                 for start, end in entropy_spans(text, a, b, kind.width, kind.bits):
-                    if all(end <= x or y <= start for x, y in taken):
-                        found.append((kind.kind, start, end))
-                        taken.append((start, end))
+                    found += [(kind.kind, a, b) for a, b in free_parts(start, end, taken, kind.width)]
         return sorted(found, key=lambda s: (s[1], ORDER.get(s[0], len(ORDER)), s[2]))
 
 

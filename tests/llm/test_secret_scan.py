@@ -54,3 +54,49 @@ def test_odd_rows(odd):
 def test_long_runs_take_linear_time():
     assert S.Scanner().spans("a" * 300_000) == [("hex", 0, 300_000)]
     assert re.fullmatch("x+", "x" * 5) and S.Scanner().spans("xY9" * 50_000) == []
+
+
+def test_fixed_forms_equal_their_patterns():
+    """Random texts against the bare patterns."""
+    import random
+
+    rng = random.Random(2)
+    signs = ["password", "API-KEY", "api_key", "apikey", "Token", "secret", ":", "=", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "deadbeef", "x", "/", "\u212a", "ſecret", "\n", "zzzzzz"]
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
+        want = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert S.base_spans(text) == want
+
+
+def test_spans_are_cut_to_what_is_free():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(2000):
+        taken = [(a, a + rng.randint(1, 6)) for a in rng.choices(range(40), k=rng.randint(0, 5))]
+        start = rng.randrange(30)
+        end = start + rng.randint(1, 20)
+        covered = {i for a, b in taken for i in range(a, b)}
+        runs, at = [], start
+        while at < end:
+            stop = at
+            while stop < end and stop not in covered:
+                stop += 1
+            if stop - at >= 3:
+                runs.append((at, stop))
+            at = stop + 1
+        assert list(S.free_parts(start, end, S.joined_intervals(taken), 3)) == runs
+
+
+def test_dense_hits_take_linear_time():
+    import random
+    import time
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(40_000))
+    begin = time.process_time()
+    assert len(S.Scanner().spans(text)) == 40_000
+    assert time.process_time() - begin < 30
