@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences: quality rules, exact and near duplicates, personal data, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept.
+
+Texts that are null count as empty; they have no words and go with the first stage.  Null languages and sources are a value like any other.  A row with
+a null id is judged by its text like any row; of equal texts it stays only where no other has an id.  Repeated rows are equal texts, of which one
+stays.  Texts are read whole.  Columns besides those of ``documents`` are left out, whatever their names.  An empty table gives no rows.
 """
 
 import public_tokenizers
