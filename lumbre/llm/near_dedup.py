@@ -51,7 +51,7 @@ _FACTORS = _random.integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.ui
 _SEEDS = _random.integers(0, 2**63, TABLES, np.uint64)
 _ODD = _random.integers(1, 2**63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of remembered words per worker; longer words are not remembered.
-REMEMBERED, LONGEST = 32 << 20, 64
+REMEMBERED, LONGEST = 80 << 20, 64
 
 
 def word_numbers() -> Memory:

@@ -26,7 +26,7 @@ from lumbre.storage import cut_lineage
 CAPACITY = 2048
 CLOSING = 0
 #: Bytes of remembered words and pieces per worker, half of them each; longer words are not remembered.
-REMEMBERED = 96 << 20
+REMEMBERED = 192 << 20
 LONGEST = 64
 
 #: White space for Python but not for the tokenizer, and a split that knows it.
