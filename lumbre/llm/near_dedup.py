@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumbre.llm.components import components
-from lumbre.llm.workers import Memory, held
+from lumbre.llm.workers import forget
 from lumbre.storage import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,12 +50,6 @@ _random = np.random.default_rng(20240117)
 _FACTORS = _random.integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _SEEDS = _random.integers(0, 2**63, TABLES, np.uint64)
 _ODD = _random.integers(1, 2**63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes of remembered words per worker; longer words are not remembered.
-REMEMBERED, LONGEST = 80 << 20, 64
-
-
-def word_numbers() -> Memory:
-    return Memory(lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")), REMEMBERED, LONGEST)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -70,7 +64,7 @@ def shingle_numbers(words: list[str]) -> np.ndarray:
     """One 64-bit number per shingle, different for each occurrence of a shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(held(word_numbers).__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))  # cheaper than to remember words
     size = min(SHINGLE, len(words))
     count = len(words) - size + 1
     numbers = np.zeros(count, np.uint64)
@@ -184,6 +178,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``_id, _digest, _row, _sketch`` of every row; ``_row`` numbers them."""
 
     def entries(texts):
+        forget()
         for batch in texts:
             rows = [sketch(t.as_py()) for t in batch]
             offsets = np.zeros(len(rows) + 1, np.int32)
