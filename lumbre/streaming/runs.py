@@ -1,12 +1,14 @@
-"""Run outcomes from a stream of status polls, with state by run.
+"""Run outcomes from a stream of status polls, with state by group of runs.
 
-Each run has a row of state of its own, a few polls that can still matter, and a timer at the instant from which its outcome can be
-known; so a batch reads and writes the runs it holds polls of and the runs that are due, and no others.  The number of open
-runs is bounded by the state store alone.
+Runs are dealt out to groups by a hash.  A group is read, judged and written in one call and has one timer, at the instant from which the next of its
+outcomes can be known: with state of their own, runs cost some twenty exchanges between Spark and Python each, which took far longer than the
+work on their polls.  A batch reads and writes the groups that it holds polls of and those that are due, and no others.  A group holds the few polls of
+its open runs that can still matter.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -17,8 +19,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lumbre.operators.runlog import MAX_UNKNOWN, MAX_WAIT_SECONDS, UNKNOWN
 from lumbre.streaming.outcomes import ENDINGS, RANK, TIMEOUT_RANK, reduce_batches
 
+# Open runs are dealt out to this many groups; a stream keeps the number it was started with.
+GROUPS = 1024
+
 POLLS = "app_name string, run_no long, started long, at long, seq long, state string, ts timestamp"
-STATE = "started long, given boolean, at array<long>, seq array<long>, state array<string>"
+# The timer that is set, and for every run: which it is, its start, whether its outcome has been given out, and its polls.
+STATE = (
+    "due long, app_name array<string>, run_no array<long>, started array<long>, given array<boolean>, "
+    "at array<array<long>>, seq array<array<long>>, state array<array<string>>"
+)
 OUTCOME = "app_name string, run_no long, status string, state string, started long, ended long"
 STATUS = {**ENDINGS, UNKNOWN: "failed"}
 
@@ -60,48 +69,71 @@ class RunWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", STATE)
+        self.group = handle.getValueState("group", STATE)
+
+    def _held(self) -> tuple[int | None, dict[tuple, tuple[int, bool, list]]]:
+        """The timer that is set, and ``started, given, polls`` by run."""
+        held = self.group.get()
+        if held is None:
+            return None, {}
+        due, *columns = held
+        return due, {(name, number): (started, given, list(zip(*polls, strict=True))) for name, number, started, given, *polls in zip(*columns, strict=True)}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = self.run.get() if self.run.exists() else None
-        fresh = [(r.started, r.at, r.seq, r.state) for r in rows]
-        if held is None:
-            started = min(f[0] for f in fresh)
-            if millis(started + self.wait) <= watermark:
-                return  # given out and forgotten
-            polls, given = [], False
-        else:
-            started, given = held[0], held[1]
-            polls = list(zip(held[2], held[3], held[4], strict=True))
-        if not given:
-            polls = first_of_run(polls + [f[1:] for f in fresh], self.max_unknown)
-        yield from self._judge(key, started, given, polls, watermark, changed=not given)
+        due, runs = self._held()
+        arrived = defaultdict(list)
+        for r in rows:
+            arrived[r.app_name, r.run_no].append((r.started, r.at, r.seq, r.state))
+        changed = False
+        for run, fresh in arrived.items():
+            started, given, polls = runs.get(run) or (min(f[0] for f in fresh), False, [])
+            if given or (run not in runs and millis(started + self.wait) <= watermark):
+                continue  # given out, or forgotten as well
+            runs[run] = started, False, first_of_run(polls + [f[1:] for f in fresh], self.max_unknown)
+            changed = True
+        yield from self._judge(runs, due, None, watermark, changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.run.exists():
-            started, given, *polls = self.run.get()
-            yield from self._judge(key, started, given, list(zip(*polls, strict=True)), timerValues.getCurrentWatermarkInMs(), changed=False)
-
-    def _judge(self, key, started: int, given: bool, polls: list, watermark: int, changed: bool) -> Iterator[Row]:
-        at, state = outcome_of(started, polls, self.max_unknown, self.wait)
-        if not given and millis(at) < watermark:
-            yield Row(app_name=key[0], run_no=key[1], status=STATUS.get(state, "timeout"), state=state, started=started, ended=at)
-            given, polls, changed = True, [], True
-        if given and millis(started + self.wait) <= watermark:
-            self.run.clear()
-            return
-        if changed:
-            self.run.update((started, given, *([p[i] for p in polls] for i in range(3))))
-            due = started + self.wait if given else at
-            self.handle.registerTimer(max(millis(due), watermark) + 1)
+        due, runs = self._held()
+        if runs:
+            yield from self._judge(runs, due, expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), False)
+
+    def _judge(self, runs: dict, due: int | None, expired: int | None, watermark: int, changed: bool) -> Iterator[Row]:
+        """The outcomes that are certain now; what is left is kept, and the timer set for what comes next."""
+        kept, following = {}, None
+        for run, (started, given, polls) in runs.items():
+            at, state = (started + self.wait, None) if given else outcome_of(started, polls, self.max_unknown, self.wait)
+            if not given and millis(at) < watermark:
+                yield Row(app_name=run[0], run_no=run[1], status=STATUS.get(state, "timeout"), state=state, started=started, ended=at)
+                at, given, polls, changed = started + self.wait, True, [], True
+            if given and millis(started + self.wait) <= watermark:
+                changed = True
+                continue
+            kept[run] = started, given, polls
+            instant = max(millis(at), watermark) + 1
+            following = instant if following is None else min(following, instant)
+        if due not in (None, expired, following):
+            self.handle.deleteTimer(due)
+        if following not in (None, due):
+            self.handle.registerTimer(following)
+        if not kept and due is not None:
+            self.group.clear()
+        elif kept and (changed or following != due):
+            columns = ([run[0] for run in kept], [run[1] for run in kept], [r[0] for r in kept.values()], [r[1] for r in kept.values()])
+            self.group.update((following, *columns, *([[p[i] for p in r[2]] for r in kept.values()] for i in range(3))))
 
     def close(self) -> None:
         pass
 
 
 def watched_outcomes(
-    polls: DataFrame, delay: str = "1 hour", max_unknown: int = MAX_UNKNOWN, max_wait: int = MAX_WAIT_SECONDS, order: str | None = None
+    polls: DataFrame,
+    delay: str = "1 hour",
+    max_unknown: int = MAX_UNKNOWN,
+    max_wait: int = MAX_WAIT_SECONDS,
+    order: str | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """``app_name, run_no, status, state, start_time, end_time`` of finished runs.
 
@@ -119,7 +151,8 @@ def watched_outcomes(
         F.col("ts").cast("timestamp").alias("ts"),
     )
     reduced = prepared.mapInPandas(partial(reduce_batches, max_unknown=max_unknown), POLLS).withWatermark("ts", delay)
-    decided = reduced.groupBy("app_name", "run_no").transformWithState(
+    group = F.pmod(F.xxhash64("app_name", "run_no"), F.lit(groups)).cast("int").alias("group")
+    decided = reduced.select(group, "*").groupBy("group").transformWithState(
         statefulProcessor=RunWatch(max_unknown, max_wait), outputStructType=OUTCOME, outputMode="append", timeMode="eventTime"
     )
 

@@ -153,6 +153,27 @@ def test_a_batch_changes_the_state_of_its_runs_alone(spark, tmp_path):
     assert found == [(i, "success" if i == 7 else "timeout") for i in range(50)]
 
 
+def test_runs_of_a_group_are_read_and_written_together(spark, tmp_path):
+    """However many runs a batch holds, its state is changed once per group, and each outcome still comes out at its own time."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def at(seconds, run, state, begin=0):
+        return ("a", run, START + dt.timedelta(seconds=begin), START + dt.timedelta(seconds=seconds), state)
+
+    def step(*data):
+        add_file(spark, source, data, POLL)
+        polls = stream_table(stream_session(spark), source)
+        batches = append_available(watched_outcomes(polls, "1 second", max_wait=300, groups=3), out)
+        return max(b.changed for b in batches), sorted((r.run_no, r.status) for r in read_appended(spark, out).collect())
+
+    assert step(*(at(0, i, "SUBMITTED") for i in range(90))) == (3, [])
+    changed, found = step(*(at(10 + i, i, "COMPLETED") for i in range(30)), at(25, 99, "SUBMITTED", 25))
+    assert changed <= 3 and found == [(i, "success") for i in range(28)]  # up to 38 seconds less the delay
+    changed, found = step(at(600, 100, "SUBMITTED", 600), *(at(50, i, "FAILED") for i in range(30, 90)))
+    assert changed <= 3 and found == sorted([*((i, "success") for i in range(30)), *((i, "failed") for i in range(30, 90)), (99, "timeout")])
+    assert step(at(610, 5, "FAILED"), at(611, 100, "COMPLETED", 600))[1] == found  # run 5 is over and forgotten
+
+
 def test_a_run_with_very_many_polls_is_small_before_the_shuffle():
     n = 10_000
     batch = pd.DataFrame(
