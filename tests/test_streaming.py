@@ -252,3 +252,18 @@ def test_submissions_meet_their_endings(spark, tmp_path):
         append_available(met, out)
     found = {r.app_name: (r.status, r.state, r.duration_seconds) for r in first_endings(read_appended(spark, out)).collect()}
     assert found == {"a": ("failed", "FAILED", 25.0), "b": ("timeout", None, None), "c": ("failed", "FAILED", 5.0), "d": ("success", "COMPLETED", 299.0)}
+
+
+def test_joined_streams_share_a_store(spark, tmp_path):
+    """One store per partition of state, and batches that add their changes to it."""
+    out = str(tmp_path / "out")
+    for i in range(2):
+        add_file(spark, str(tmp_path / "s"), [("a", i, START)], "app_name string, run_no long, started_at timestamp_ntz")
+        ended = ("a", i, START + dt.timedelta(seconds=5), "COMPLETED", 1)
+        add_file(spark, str(tmp_path / "e"), [ended], "app_name string, run_no long, ended_at timestamp_ntz, state string, seq long")
+        own = stream_session(spark, 1)
+        append_available(submissions_with_endings(stream_table(own, str(tmp_path / "s")), stream_table(own, str(tmp_path / "e"))), out)
+    state = tmp_path / "out/checkpoint/state/0/0"
+    assert not [p.name for p in state.iterdir() if p.is_dir() and p.name.startswith(("left", "right"))]
+    assert list(state.rglob("*.changelog"))
+    assert sorted(r.run_no for r in first_endings(read_appended(spark, out)).collect()) == [0, 1]
