@@ -30,7 +30,8 @@ def page_rank(
 
     Links are written once, in buckets of their source and part; a source has as many parts as its number of links
     asks for, so one with very many lies in many buckets.  A round shuffles one share per source and part, and partially summed
-    shares, never the links.  The plan is the same for every size; only the number of buckets and parts follows it.
+    shares, never the links; nor does it sort them: a bucket's shares, no more than its links, are looked up by hash.
+    The plan is the same for every size; only the number of buckets and parts follows it.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
     degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
@@ -38,8 +39,10 @@ def page_rank(
     nodes = cut_lineage(degrees.select(F.col("src").alias("node"), "links", parts.alias("parts")))
     total = nodes.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(links), -(-total // links_per_bucket))
-    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
-    placed = links.join(nodes.withColumnRenamed("node", "src"), "src").select("src", "dst", part)
+    # Sources of several parts have at least ``links_per_task`` links each, so there are few of them.
+    divided = nodes.filter("parts > 1").select(F.col("node").alias("src"), "parts")
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    placed = links.join(F.broadcast(divided), "src", "left").select("src", "dst", part)
     placed = bucketed(placed, buckets, "src", "part")
 
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
@@ -50,7 +53,7 @@ def page_rank(
             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         )
         ranks = (
-            placed.join(shares, ["src", "part"])
+            placed.join(shares.hint("shuffle_hash"), ["src", "part"])
             .groupBy(F.col("dst").alias("node"))
             .agg((F.lit(1 - damping) + damping * F.sum("share")).alias("rank"))
         )

@@ -75,6 +75,22 @@ def test_page_rank_with_a_hot_source(spark, links_per_task, rounds, links_per_bu
     assert found == pytest.approx(brute_force_ranks(edges, rounds))
 
 
+def test_page_rank_does_not_sort_the_links_in_a_round(spark):
+    """Links without an end lead nowhere, but are links of their source; a round looks shares up by hash."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", None), (None, "a"), ("c", "a"), ("c", "a")], "src string, dst string")
+        ranks = ranking.page_rank(df, 2, links_per_task=1)
+        assert ranks._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") >= 2
+        # a: 1 from b, 1 from c, then b's share alone; b and the missing end: half of a's rank each time
+        first = 0.15 + 0.85 * 2
+        assert {r.node: r["rank"] for r in ranks.collect()} == pytest.approx(
+            {"a": 0.15 + 0.85 * (0.15 + 0.85 / 2), "b": 0.15 + 0.85 * first / 2, None: 0.15 + 0.85 * first / 2}
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("segments", [1, 3, 50])
 def test_running_totals_with_a_hot_key(spark, segments):
     draw = random.Random(segments)
