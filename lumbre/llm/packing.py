@@ -9,6 +9,7 @@ Null texts count as empty; an empty document is its closing id alone.  Texts are
 are packed as often as they occur.  Other columns are not read.  An empty table gives no pieces.
 """
 
+import json
 import os
 import re
 from collections.abc import Iterator, Mapping
@@ -25,17 +26,20 @@ from lumbre.storage import cut_lineage
 
 CAPACITY = 2048
 CLOSING = 0
-#: Bytes of remembered words and pieces per worker, half of them each; longer words are not remembered.
-REMEMBERED = 192 << 20
+#: Bytes of remembered words per worker; longer words are not remembered.
+REMEMBERED = 96 << 20
 LONGEST = 64
 
-#: White space for Python but not for the tokenizer, and a split that knows it.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-WORD = re.compile(f"[^{WHITE}]+")
-#: Words of which every normalisation leaves each character one character: printable ASCII and Latin letters.  Their
-#: pieces by the tokenizer's own pattern, once in lower case.
-PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Characters that every normalisation leaves one character each: printable ASCII and Latin letters.
+SETTLED = "!-~\xc0-\xd6\xd8-\xf6\xf8-\xff"
+OTHER = re.compile(f"[^{WHITE}{SETTLED}]")
+#: Words with any other character.
+OTHER_WORD = re.compile(f"(?<![^{WHITE}])[{SETTLED}]*+[^{WHITE}{SETTLED}][^{WHITE}]*+")
+#: In lower case, what the tokenizer's own pattern sets apart from runs of letters: one digit, an ending after an apostrophe, a run of signs.
+LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+SIGNS = re.compile(f"[^{WHITE}{LETTERS}](?:(?<=[0-9])|(?<=')(?:[stmd]|re|ve|ll)|[^{WHITE}0-9{LETTERS}]*+)")
+#: Longer pieces, with those around them, go to the tokenizer's merges; pieces merged in one go.
+LONG_PIECE, AT_ONCE = 1000, 1 << 14
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,10 +50,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words:
-    """The ids of words by a tokenizer file, and what this worker remembers of them.
+    """The ids of texts by a tokenizer file, and what this worker remembers of words.
 
-    White space separates whatever the tokenizer does, so a text's ids are those of its words.  Plain words are cut into pieces
-    and given to the tokenizer's merges directly; any other word goes through the whole tokenizer.
+    White space separates whatever the tokenizer does, so a text's ids are those of its words.  Plain words are cut into pieces and
+    merged by ``tiktoken``, many at once; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, content: bytes):
@@ -60,22 +64,57 @@ class Words:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.pieces = Memory(self._piece, REMEMBERED // 2, LONGEST)
-        self.words = Memory(self._word, REMEMBERED // 2, LONGEST)
+        self.library, self.ids = self._merges(json.loads(content)["model"])
+        self.words = Memory(self._word, REMEMBERED, LONGEST)
+
+    def _merges(self, model: dict) -> tuple:
+        """The merges as ranks of byte strings, where a space ends a piece, and the id of each rank.
+
+        A last byte takes its space before all other merges, as the vocabulary has both kinds of every byte.
+        """
+        from tiktoken import Encoding
+
+        suffix, known = model["end_of_word_suffix"], model["vocab"]
+        byte_of = {letter: byte for byte, letter in self.letters.items()}
+
+        def spelled(token: str) -> bytes:
+            inner = token.removesuffix(suffix)
+            return bytes(byte_of[c] for c in inner) + b" " * (inner != token)
+
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [*byte_of, *(letter + suffix for letter in byte_of), *merged]
+        ranks = {spelled(token): rank for rank, token in enumerate(order)}
+        if len(ranks) < len(order) or set(order) != set(known):
+            raise ValueError("merges of this tokenizer are not told by their results")
+        library = Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        return library, np.array([known[token] for token in order], "<u4")
 
     def _piece(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return np.array([t.id for t in tokens], "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            return b"".join([self.pieces[p] for p in PIECE.findall(word.lower())])
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _plain(self, text: str) -> bytes:
+        found = SIGNS.sub(r" \g<0> ", text.lower()).split()
+        parts = []
+        for first in range(0, len(found), AT_ONCE):
+            some = found[first : first + AT_ONCE]
+            if max(map(len, some)) > LONG_PIECE:
+                parts += map(self._piece, some)
+            else:
+                parts.append(self.ids[self.library.encode_ordinary(" ".join(some) + " ")].tobytes())
+        return b"".join(parts)
+
     def packed(self, text: str) -> bytes:
         """The ids of a text and the closing id, as little-endian unsigned 32-bit integers."""
-        words = WORD.findall(text) if SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, words)) + CLOSING.to_bytes(4, "little")
+        parts, at = [], 0
+        if OTHER.search(text):
+            for word in OTHER_WORD.finditer(text):
+                parts += [self._plain(text[at : word.start()]), self.words[word.group()]]
+                at = word.end()
+        return b"".join([*parts, self._plain(text[at:]), CLOSING.to_bytes(4, "little")])
 
 
 def token_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -31,6 +32,37 @@ def test_ids_are_those_of_the_library(library):
         assert np.frombuffer(words.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_plain_words_are_merged_together_and_not_remembered(library):
+    with open(PATH, "rb") as file:
+        words = P.Words(file.read())
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abdelmorstvABéÀ'.,7-") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    odd = ["中文", "x\x1cy", "don\u2019t"]
+    long = ["ab" * 1500, "." * 1200 + "c", "q7'" * 900]
+    for text in (" ".join(plain), "\n".join([*plain[:50], odd[0], *plain[50:90], odd[1], odd[2], "end"]), "  ".join([plain[0], *long, plain[1]]), "", " \t"):
+        assert np.frombuffer(words.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+    assert set(words.words) == set(odd)
+
+
+def test_merges_are_told_by_their_results():
+    """Of the symbols of every token, the merges before its own leave just the two that its own joins: so whatever makes its bytes makes it."""
+    with open(PATH, "rb") as file:
+        model = json.load(file)["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ranks = {pair: rank for rank, pair in enumerate(pairs)}
+    assert len({a + b for a, b in pairs}) == len(pairs)
+    for pair in pairs:
+        token = "".join(pair)
+        end = "</w>" * token.endswith("</w>")
+        parts = list(token.removesuffix("</w>"))
+        parts[-1] += end
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda i: ranks.get((parts[i], parts[i + 1]), len(ranks)))
+            assert (parts[at], parts[at + 1]) in ranks
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert tuple(parts) == pair
+
+
 def one_by_one(lengths, capacity):
     """Best fit, longest first, piece by piece."""
     rooms = []
