@@ -50,9 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind in brackets."""
-    spans = pii.spans_of(pii.train(docs), F.col("text"))
-    clean = docs.select(*COLUMNS, spans.alias("_spans")).withColumn("text", pii.masked(F.col("text"), F.col("_spans")))
-    changed = F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    clean = docs.select(*COLUMNS, pii.spans_masked(pii.train(docs), F.col("text")).alias("_clean")).withColumn("text", F.col("_clean.text"))
+    changed = F.when(F.col("_clean.spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed).select(*COLUMNS)
 
 

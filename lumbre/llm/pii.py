@@ -375,12 +375,20 @@ def all_spans(text: str, field: Field | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _frozen(weights: dict[str, list[float]]) -> tuple:
+    return tuple((name, tuple(values)) for name, values in sorted(weights.items()))
+
+
+def _held_field(frozen: tuple) -> Field | None:
+    return held(_field, frozen) if frozen else forget()
+
+
 def spans_of(weights: dict[str, list[float]], text: Column) -> Column:
     """An array of all spans of a text, in code points with exclusive ends, by kind and start."""
-    frozen = tuple((name, tuple(values)) for name, values in sorted(weights.items()))
+    frozen = _frozen(weights)
 
     def find(texts):
-        field = held(_field, frozen) if frozen else forget()
+        field = _held_field(frozen)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in texts:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t, field)] for t in batch.to_pylist()]
@@ -396,22 +404,43 @@ def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wei
     return docs.select(F.col(key), spans_of(weights, F.col(text)).alias("personal"))
 
 
+def without_spans(text: str | None, found: list[tuple[str, int, int]] | None) -> str | None:
+    """``text`` with every span replaced by its kind in brackets; of overlapping spans the parts are replaced together."""
+    if not found or text is None:
+        return text
+    parts, at = [], 0
+    for kind, start, end in sorted(found, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.removeprefix('crf_').upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping spans the parts are replaced together."""
 
     def mask(texts, lists):
-        out = []
-        for t, found in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-            if not found or t is None:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], f"[{s['kind'].removeprefix('crf_').upper()}]"]
-                at = max(at, s["end"])
-            out.append("".join([*parts, t[at:]]))
-        return pa.array(out, pa.string())
+        each = ([(s["kind"], s["start"], s["end"]) for s in found or ()] for found in lists.to_pylist())
+        return pa.array(map(without_spans, texts.to_pylist(), each), pa.string())
 
     mask.__annotations__ = {"texts": pa.Array, "lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(mask, "string")(text, spans)
+
+
+def spans_masked(weights: dict[str, list[float]], text: Column) -> Column:
+    """``text, spans``: the text as ``masked`` makes it from ``spans_of`` it, and how many spans there are.
+
+    Both in one call: a task that calls one after the other keeps two Python workers at a time.
+    """
+    frozen = _frozen(weights)
+
+    def clean(texts):
+        field = _held_field(frozen)
+        for batch in texts:
+            given = batch.to_pylist()
+            found = [all_spans(t or "", field) for t in given]
+            whole = pa.array(map(without_spans, given, found), pa.string())
+            yield pa.StructArray.from_arrays([whole, pa.array(map(len, found), pa.int32())], ["text", "spans"])
+
+    clean.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(clean, "struct<text:string,spans:int>")(text)

@@ -163,3 +163,15 @@ def test_odd_rows_and_masks(odd, table):
     masked = docs.select("doc_id", pii.masked(F.col("text"), pii.spans_of({}, F.col("text"))).alias("text"))
     assert {r["doc_id"]: r["text"] for r in masked.collect()} == {1: "é [EMAIL] and [IP]!", 2: None, 3: "plain"}
     assert pii.personal_spans(table([])).collect() == []
+
+
+def test_masks_in_one_call_are_those_of_two(table, weights):
+    from pyspark.sql import functions as F
+
+    texts = ["é a@b.cd and 10.0.0.1!", None, "", "plain", "write to jo (at) web (dot) org or +44 20 7946 0958", "4111 1111 1111 1111 a.b@10.0.0.1.com"]
+    docs = table([document(i, t) for i, t in enumerate(texts)])
+    for given in ({}, weights):
+        spans = pii.spans_of(given, F.col("text"))
+        two = docs.select("doc_id", pii.masked(F.col("text"), spans).alias("text"), F.size(spans).alias("spans"))
+        one = docs.select("doc_id", pii.spans_masked(given, F.col("text")).alias("both")).select("doc_id", "both.text", "both.spans")
+        assert sorted(one.collect()) == sorted(two.collect())

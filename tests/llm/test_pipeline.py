@@ -61,6 +61,11 @@ def test_personal(stages):
     assert (stages[4].n_chars == stages[4].text.str.len()).all()
 
 
+def test_personal_data_takes_one_python_worker_per_task(table):
+    plan = C.personal_data(None, table([document(1, "a@b.cd")]), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_packed(stages):
     assert set(stages[5].doc_id) == set(stages[4].doc_id)
     assert (stages[5].groupby("sequence_id").length.sum() <= 2048).all()
