@@ -272,37 +272,44 @@ def examples(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> dict[str, list[float]]:
     """Weights by conditional likelihood; the sums over all segmentations go over all stretches at once."""
-    lattices = [(Lattice(part), spans) for part, spans in labelled if 0 < len(TOKEN.findall(part)) <= EXAMPLE_TOKENS]
-    # A stretch with an entity that cannot be one segment teaches nothing, least of all that it is no entity.
-    lattices = [(lattice, spans) for lattice, spans in lattices if all(lattice.segment(a, b) in lattice.names for _, a, b in spans)]
-    if not any(spans for _, spans in lattices):
+    number: dict[str, int] = {}
+    where, lengths, features_at, how_many, marked = [], [], [], [], []
+    row = 0
+    for part, spans in labelled:  # of a stretch, only numbers are kept
+        if not 0 < len(TOKEN.findall(part)) <= EXAMPLE_TOKENS:
+            continue
+        lattice = Lattice(part)
+        entities = [(kind, *lattice.segment(a, b)) for kind, a, b in spans]
+        # A stretch with an entity that cannot be one segment teaches nothing, least of all that it is no entity.
+        if not all((last, length) in lattice.names for _, last, length in entities):
+            continue
+        at_row = {at: row + i for i, at in enumerate(lattice.names)}
+        covered = {i for _, last, length in entities for i in range(last + 1 - length, last + 1)}
+        marked += [(at_row[last, length], BASE.index(kind) + 1) for kind, last, length in entities]
+        marked += [(at_row[i, 1], 0) for i in range(len(lattice.tokens)) if i not in covered]
+        where.append(np.array([(len(lengths), *at) for at in lattice.names]))
+        features_at.append(np.array([number.setdefault(n, len(number)) for each in lattice.names.values() for n in each], np.int32))
+        how_many.append(np.array([len(each) for each in lattice.names.values()], np.int32))
+        lengths.append(len(lattice.tokens))
+        row += len(lattice.names)
+    if not any(kind for _, kind in marked):
         return {}
-    names = sorted({n for lattice, _ in lattices for each in lattice.names.values() for n in each})
+    names = sorted(number)
+    column = np.empty(len(names), np.int32)
+    column[[number[n] for n in names]] = np.arange(len(names))
     number = {n: i for i, n in enumerate(names)}
-    width, kinds = max(len(lattice.tokens) for lattice, _ in lattices), len(BASE) + 1
-    rows = [(w, last, length, each) for w, (lattice, _) in enumerate(lattices) for (last, length), each in lattice.names.items()]
-    where = tuple(np.array([r[i] for r in rows]) for i in (0, 1, 2))
-    seen = np.zeros((len(rows), len(names)), np.float32)
-    for row, (_, _, _, each) in enumerate(rows):
-        seen[row, [number[n] for n in each]] = 1
-    gold = np.zeros((len(rows), kinds))
-    at_row = {r[:3]: i for i, r in enumerate(rows)}
-    for w, (lattice, spans) in enumerate(lattices):
-        covered = set()
-        for kind, a, b in spans:
-            last, length = lattice.segment(a, b)
-            gold[at_row[w, last, length], BASE.index(kind) + 1] = 1
-            covered.update(range(last + 1 - length, last + 1))
-        for i in range(len(lattice.tokens)):
-            if i not in covered:
-                gold[at_row[w, i, 1], 0] = 1
-    lengths = np.array([len(lattice.tokens) for lattice, _ in lattices])
+    width, kinds = max(lengths), len(BASE) + 1
+    lengths, where = np.array(lengths), tuple(np.concatenate(where).T)
+    seen = np.zeros((row, len(names)), np.float32)
+    seen[np.repeat(np.arange(row), np.concatenate(how_many)), column[np.concatenate(features_at)]] = 1
+    gold = np.zeros((row, kinds))
+    gold[tuple(np.array(marked).T)] = 1
     weights, before = np.zeros((len(names), kinds)), np.zeros((len(names), kinds))
     pace = np.full((len(names), kinds), FIRST_PACE)
     wanted = seen.T @ gold
     for _ in range(ROUNDS):
         expected = seen.T @ marginals(seen @ weights, where, lengths, width)
-        slope = (wanted - expected) / len(lattices) - PENALTY * weights
+        slope = (wanted - expected) / len(lengths) - PENALTY * weights
         # Every weight has a pace of its own, which grows while its slope keeps its sign and falls when that turns.
         same = slope * before
         pace = np.clip(np.where(same > 0, pace * 1.2, np.where(same < 0, pace * 0.5, pace)), 1e-4, 1.0)
@@ -344,17 +351,31 @@ def marginals(scores: np.ndarray, where, lengths: np.ndarray, width: int) -> np.
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict[str, list[float]]:
-    """Weights from at most ``2 * sample`` documents: those with the smallest hashes, with and without hits."""
+    """Weights from at most ``2 * sample`` documents: those with the smallest hashes, with and without hits.
+
+    The driver sees hashes and weights; the texts of the sample meet in one task, which learns from them.
+    """
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    order = [F.xxhash64("key", "text"), "key"]
+    hashed = F.xxhash64("key", "text").alias("hash")
     hit = F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|\+[0-9][ ().0-9-]{8}|[0-9]{13}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]")
     short = given.filter(F.length("text") <= SAMPLE_CHARS)
-    texts = [
-        row["text"]
+    drawn = [
+        row["hash"]
         for wanted in (hit, ~hit & F.col("text").rlike("[0-9]{2}"))
-        for row in short.filter(wanted).orderBy(*order).limit(sample).collect()  # a bounded sample
+        for row in short.filter(wanted).select(hashed, "key").orderBy("hash", "key").limit(sample).collect()  # a bounded sample
     ]
-    return trained([each for t in texts for each in examples(t)])
+    if not drawn:
+        return {}
+
+    def learn(batches):
+        forget()
+        texts = {h: t for batch in batches for h, t in zip(*(batch.column(n).to_pylist() for n in ("hash", "text")), strict=True)}
+        weights = trained([each for h in drawn for each in examples(texts[h])]) if texts else {}
+        yield pa.RecordBatch.from_pydict({"name": pa.array(list(weights), pa.string()), "weights": pa.array(list(weights.values()), pa.list_(pa.float64()))})
+
+    texts = short.select(hashed, "text").filter(F.col("hash").isin(*set(drawn))).groupBy("hash").agg(F.min("text").alias("text"))
+    learned = texts.repartition(1).mapInArrow(learn, "name string, weights array<double>")
+    return {row["name"]: row["weights"] for row in learned.orderBy("name").collect()}  # a row per feature
 
 
 def _field(weights: tuple) -> Field:

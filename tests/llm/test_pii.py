@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import ODD, document
 from lumbre.llm import pii
@@ -154,6 +155,23 @@ def test_training_is_repeatable(spark, sf_dir, weights):
     assert pii.train(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5)) == weights
 
 
+def test_the_driver_does_not_train(table, monkeypatch):
+    """Repeated rows and rows without id are drawn like others; of a text with several rows in the sample, every row counts."""
+    hits = [f"mail joe{i}@example.org or call +1 (312) 555-01{i:02d} from 10.0.0.{i} today" for i in range(6)]
+    rows = [document(i, t) for i, t in enumerate(hits)] * 2 + [document(None, hits[0]), document(None, None), document(9, "in 2024 we saw 1,234 of 56.78"), document(10, "none")]
+    docs = table(rows)
+    order = F.xxhash64("doc_id", "text"), "doc_id"
+    few = [r.text for r in docs.filter("text like 'mail%'").orderBy(*order).limit(5).collect()] + [rows[14][1]]
+    want = pii.trained([each for t in few for each in pii.examples(t)])
+
+    def here(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(pii, "marginals", here)
+    assert want and pii.train(docs, sample=5) == want
+    assert pii.train(table([document(1, "none"), document(2, None)])) == {} == pii.train(table([]))
+
+
 def test_odd_rows_and_masks(odd, table):
     rows = pii.personal_spans(odd).collect()
     assert len(rows) == len(ODD) and all(r["personal"] == [] for r in rows)
