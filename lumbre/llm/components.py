@@ -14,15 +14,14 @@ def _smallest(links: DataFrame) -> DataFrame:
 
 def _far(links: DataFrame) -> DataFrame:
     """Every node ties its greater neighbours to the smallest node it knows."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = links.select(F.inline(F.array(F.struct("a", "b"), turned)))
     return _smallest(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _near(links: DataFrame) -> DataFrame:
     """Every node ties itself and its smaller neighbours to the smallest of them; links come as ``a > b``."""
-    tied = _smallest(links)
-    others = tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.unionByName(tied.select("a", F.col("m").alias("b"))).distinct()
+    return _smallest(links).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _settled(links: DataFrame) -> bool:

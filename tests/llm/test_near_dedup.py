@@ -215,3 +215,15 @@ def test_components(spark, seed):
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
     linked = {i for a, b in links if a != b for i in (a, b)}
     assert found == {i: label[i] for i in linked}
+
+
+def test_a_round_of_components_reads_links_once_per_step(spark, capsys):
+    """Every further copy of a step in the plan of a round is tasks and plan nodes that the driver keeps track of."""
+    from lumbre.llm import components as C
+
+    links = spark.createDataFrame([(2, 1), (3, 1), (3, 2), (5, 3), (9, 8)], "a long, b long")
+    got = C._near(C._far(links))
+    capsys.readouterr()
+    got.explain()
+    assert capsys.readouterr().out.count("Join ") == 3
+    assert {tuple(r) for r in got.collect()} == {(2, 1), (3, 1), (5, 1), (9, 8)}
